@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -290,3 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     out = told.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that have a near-duplicate of smaller doc_id in their group."""
+    gone = near_duplicates(docs, percent, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
