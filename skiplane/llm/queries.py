@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiplane.llm import decontaminate, near_dedup, repeats
+from skiplane.llm import decontaminate, near_dedup, quality, repeats, secrets, sharding
 
 
 #: Words with their places, windows of items, their occurrences, the words these cover.
@@ -30,10 +30,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.rendezvous(_table(spark, sf_dir, "documents"), weights=[1.0] * 40)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    n = lambda rank: F.size(F.filter("secrets", lambda s: s["rank"] == rank)).cast("bigint")
+    live = lambda yes: F.size(F.filter("secrets", lambda s: s["live"] == yes)).cast("bigint")
+    base, all_ = len(secrets.BASE), len(secrets.KINDS)
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.digest(F.col("secrets"), base), 256).alias("base_sha256"), secrets.digest(F.col("secrets"), all_).alias("spans"), live(True).alias("n_live"), live(False).alias("n_copied"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
