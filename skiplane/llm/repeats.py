@@ -16,20 +16,21 @@ Only suffixes whose bucket can hold another are refined:
    one slice of texts are settled on the spot.
 2. Pieces are sorted by bucket and refined identifier. A piece that has an
    earlier copy is repeated as a whole; a bucket of one piece ends here.
-3. The first copies that remain in buckets with several different pieces are
-   refined to single windows, sorted by their bucket identifiers and those of
-   later offsets; a window that isn't the first of its bucket repeats.
+3. The first copies that remain in buckets with several different pieces go
+   through the same two steps with longer q-grams, whose identifiers are made
+   of those before; the last q is ``length``, where a piece is one window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiplane.llm import textbytes as tb
@@ -46,15 +47,24 @@ def _refine(a: np.ndarray, offset: int) -> np.ndarray:
     return tb.mix(a[:n] * _U(tb.STEP) + (a[offset:] ^ _U(tb.MIX_B))) if n > 0 else np.zeros(0, np.uint64)
 
 
-def _identifiers(data: np.ndarray, length: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Identifiers of the q-grams (q the largest power of two up to a third of ``length``), q, and of the strings of half of ``length`` or more bytes, by start."""
-    ids, q = tb.byte_values(11)[data], 1
+def levels(length: int) -> list[int]:
+    """The q of each round: the largest power of two up to a third of ``length``, then nearer to it by two thirds, then ``length``."""
+    q = 1
     while 2 * q <= max(1, length // 3):
-        ids, q = _refine(ids, q), 2 * q
-    grams, size = ids, q
-    while 2 * size <= length:
+        q *= 2
+    out, rest = [q], (length - q) // 3
+    while rest > 3:
+        out.append(length - rest)
+        rest //= 3
+    return out + [length] * (out[-1] != length)
+
+
+def _identifiers(data: np.ndarray, q: int) -> np.ndarray:
+    """Identifiers of the q-grams, by start."""
+    ids, size = tb.byte_values(11)[data], 1
+    while 2 * size <= q:
         ids, size = _refine(ids, size), 2 * size
-    return grams, q, (ids if size == length else _refine(ids, length - size))
+    return ids if size == q else _refine(ids, q - size)
 
 
 def _elected(grams: np.ndarray, width: int) -> np.ndarray:
@@ -119,17 +129,25 @@ def _spread(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return tb.mix(doc.view(np.uint64) * _U(tb.STEP) + lo.astype(np.uint64)).view(np.int64)
 
 
-def _pieces(length: int):
+def _pieces(length: int, q: int):
+    """Texts, or only their windows in the ranges of the column ``open``, to pieces by elected q-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text", SLICE):
             texts = tb.Texts(batch.column("text"))
-            start, row = _windows(texts, length)
+            if "open" in batch.schema.names:
+                lists = batch.column("open")
+                row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(lists).to_numpy())
+                row, lo, hi = _runs(row, *(pa.compute.struct_field(lists.flatten(), i).to_numpy().astype(np.int64) for i in (0, 1)))
+                start, row = tb.ranges(lo + texts.starts[row], hi - lo), np.repeat(row, hi - lo)
+            else:
+                start, row = _windows(texts, length)
             if not len(start):
                 continue
             doc = batch.column("doc").to_numpy()
-            grams, q, _ = _identifiers(texts.data, length)
+            grams = _identifiers(texts.data, q)
             place = _elected(grams, length - q + 1)[start]
-            at = np.flatnonzero(_firsts(place, row))
+            at = np.flatnonzero(_firsts(place, row, start - np.arange(len(start))))
             lo, hi, row = start[at], start[np.append(at[1:], len(start)) - 1] + 1, row[at]
             bucket = grams[place[at]]
             name = tb.span(texts.prefix(tb.byte_values(12)), lo, hi + length - 1) ^ tb.mix((place[at] - lo).astype(np.uint64))
@@ -184,34 +202,6 @@ def _refined_pieces(length: int):
     return run
 
 
-def _single_windows(length: int):
-    """Texts with their OPEN pieces to windows (kind PIECES), named by two identifiers; copies within a slice are settled on the spot."""
-    schema = pa.schema([("kind", pa.int8()), ("front", pa.int64()), ("back", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, "text", SLICE):
-            texts = tb.Texts(batch.column("text"))
-            grams, q, whole = _identifiers(texts.data, length)
-            lists = batch.column("pieces")
-            row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(lists).to_numpy())
-            lo, hi = (pa.compute.struct_field(lists.flatten(), i).to_numpy().astype(np.int64) for i in (0, 1))
-            at, row = tb.ranges(lo + texts.starts[row], hi - lo), np.repeat(row, hi - lo)
-            doc, lo = batch.column("doc").to_numpy()[row], at - texts.starts[row]
-            front, back = whole[at], grams[at + length - q] ^ tb.mix(grams[at])
-            order = np.lexsort((lo, doc, back, front))
-            first = _firsts(front[order], back[order])
-            kept, gone = order[first], order[~first]
-            r, a, b = _runs(row[gone], lo[gone], lo[gone] + length)
-            d = batch.column("doc").to_numpy()[r]
-            yield _rows(
-                schema,
-                (np.full(len(kept), PIECES), front[kept].view(np.int64), back[kept].view(np.int64), doc[kept], lo[kept], lo[kept] + length),
-                (np.full(len(r), REPEATED), _spread(d, a), np.zeros(len(r), np.int64), d, a, b),
-            )
-
-    return run
-
-
 def _cleaned(with_bytes: bool):
     spans = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
@@ -258,17 +248,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_bytes: bool = True)
     repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeated:
         texts = cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
-    pieces = texts.mapInArrow(_pieces(length), PIECE).repartition(n, "bucket").sortWithinPartitions("kind", "bucket", "name", "doc", "lo")
-    refined = cut(pieces.mapInArrow(_refined_pieces(length), RANGE))
-    several = refined.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("pieces"))
-    windows = texts.join(several, "doc").select("doc", "text", "pieces").mapInArrow(_single_windows(length), "kind tinyint, front bigint, back bigint, doc bigint, lo int, hi int")
-    turn = F.row_number().over(Window.partitionBy("kind", "front", "back").orderBy("doc", "lo"))
-    later = windows.withColumn("turn", turn).where(f"kind = {REPEATED} OR turn > 1").select("doc", "lo", "hi")
-    ranges = refined.where(F.col("kind") == REPEATED).select("doc", "lo", "hi").union(later).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    dealt = texts if repeated else docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc").repartition(n, "doc")
+
+    def refined(source: DataFrame, q: int) -> DataFrame:
+        pieces = source.mapInArrow(_pieces(length, q), PIECE).repartition(n, "bucket").sortWithinPartitions("kind", "bucket", "name", "doc", "lo")
+        return pieces.mapInArrow(_refined_pieces(length), RANGE)
+
+    first, *rest = levels(length)
+    found = [cut(refined(texts, first))]
+    for q in rest:
+        left = found[-1].where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+        found.append(refined(dealt.join(left, "doc").select("doc", "text", "open"), q))
+    repeats = [f.where(F.col("kind") == REPEATED).select("doc", "lo", "hi") for f in found]
+    ranges = reduce(DataFrame.union, repeats).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     if repeated:
         ranges = ranges.join(texts, "doc").select("doc", "ranges", F.col("text").alias("compared"))
-        held = docs.join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("text") == F.col("compared")), "left")
+        held = docs.join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("text") == F.col("compared")), "left").select("doc_id", "text", "ranges")
     else:
-        held = docs.join(ranges, F.col("doc_id") == F.col("doc"), "left")
+        # The exchange of the texts by document is the same for all levels, and for the removal.
+        held = dealt.join(ranges, "doc", "left").select(F.col("doc").alias("doc_id"), "text", "ranges")
+        other = docs.where("doc_id IS NULL").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+        held = held.union(other)
     kinds = "doc_id bigint, n_bytes bigint, removed array<struct<lo: bigint, hi: bigint>>, kept_sha256 string" + ", kept binary" * with_bytes
-    return held.select("doc_id", "text", "ranges").mapInArrow(_cleaned(with_bytes), kinds)
+    return held.mapInArrow(_cleaned(with_bytes), kinds)
