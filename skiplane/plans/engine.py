@@ -81,9 +81,9 @@ class Engine:
         reports = {}
         for n, t in used.items():
             p = predicates.get(n) or Predicate()
-            reports[n] = t.report(p)
+            reports[n] = t.report(p, nan_is_high=True)
             if p.conditions:
-                t.read(with_buckets=True).where(t.segment_filter(p)).drop("batch", "bx", "by_", "bz").createOrReplaceTempView(n)
+                t.read(with_buckets=True).where(t.segment_filter(p, nan_is_high=True)).drop("batch", "bx", "by_", "bz").createOrReplaceTempView(n)
         return QueryResult(self.spark.sql(sql, args=args or {}), reports)
 
     def aggregate(self, name: str, column: str, predicate: Predicate | None = None, approx: bool = False) -> DataFrame:

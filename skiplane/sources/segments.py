@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skiplane.functions import routing
 from skiplane.operators.layout import BUCKETS, Layout
-from skiplane.plans.predicate import Predicate
+from skiplane.plans.predicate import Predicate, Range
 
 #: Rows of one file at most.
 FILE_ROWS = 5_000_000
@@ -109,13 +110,22 @@ class SegmentTable:
         """(bx, by_, bits): per segment a binary whose bits, lowest first, are the bz that occur."""
         return self.counts().groupBy("bx", "by_").agg(F.bitmap_construct_agg(F.col("bz").cast("bigint")).alias("bits"))
 
-    def surviving(self, predicate: Predicate) -> DataFrame:
-        """(bx, by_) of segments in which an allowed combination of buckets occurs."""
+    def surviving(self, predicate: Predicate, nan_is_high: bool = False) -> DataFrame:
+        """(bx, by_) of segments in which an allowed combination of buckets occurs.
+
+        In SQL, NaN is above all numbers; ``nan_is_high`` keeps the segments
+        that hold one, as their statistics tell, for ranges that are open above.
+        """
         rows = self.counts()
         for name, allowed in predicate.buckets(self.layout).items():
             if allowed is not None:
                 rows = rows.where(F.col(name).isin(*allowed) if allowed else F.lit(False))
-        return rows.select("bx", "by_").distinct()
+        out = rows.select("bx", "by_")
+        for dim in self.layout.dimensions if nan_is_high else ():
+            ranges = [x for x in predicate.of(dim.name) if isinstance(x, Range)]
+            if dim.kind == routing.MAGNITUDE and ranges and all(x.high is None for x in ranges):
+                out = out.union(self.stats().where((F.col("column") == dim.name) & F.isnan("max")).select("bx", "by_"))
+        return out.distinct()
 
     def read(self, predicate: Predicate | None = None, with_buckets: bool = False) -> DataFrame:
         """All rows, or those that match: partitions pruned by segment, row groups by pushed filters, then filtered exactly."""
@@ -124,18 +134,18 @@ class SegmentTable:
             df = df.where(self.segment_filter(predicate)).where(predicate.column())
         return df if with_buckets else df.drop("batch", *BUCKETS)
 
-    def segment_filter(self, predicate: Predicate) -> Column:
+    def segment_filter(self, predicate: Predicate, nan_is_high: bool = False) -> Column:
         """Partition filter of the surviving segments: as many pairs as there are segments at most, which the layout bounds."""
         by_x: dict[int, list[int]] = {}
-        for r in self.surviving(predicate).collect():
+        for r in self.surviving(predicate, nan_is_high).collect():
             by_x.setdefault(r["bx"], []).append(r["by_"])
         out = F.lit(False)
         for bx, bys in sorted(by_x.items()):
             out = out | ((F.col("bx") == bx) & F.col("by_").isin(*sorted(bys)))
         return out
 
-    def report(self, predicate: Predicate) -> PruneReport:
-        return PruneReport(self.surviving(predicate).count(), self.counts().select("bx", "by_").distinct().count())
+    def report(self, predicate: Predicate, nan_is_high: bool = False) -> PruneReport:
+        return PruneReport(self.surviving(predicate, nan_is_high).count(), self.counts().select("bx", "by_").distinct().count())
 
     def info(self) -> DataFrame:
         """segments, rows and whole rows a segment."""
