@@ -1,4 +1,4 @@
-"""Times the headline queries: a warm-up and the median of five runs each. Prints one JSON line."""
+"""Times the headline queries: a warm-up and the median of three runs each. Prints one JSON line."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 HEADLINE = ["eq_categorical", "range_open_high", "range_closed", "eq_and_range", "between_pruned", "count_exact", "agg_all", "join_pruned", "group_having", "approx_aggregates", "count_upper_bound", "equi_depth", "pruning_lag", "dense_refinement"]
-RUNS = 5
+RUNS = 3
 
 
 def main() -> None:
