@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,49 +38,52 @@ GRAIN = 4
 ROUNDS = 400
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+#: Where a text may be cut without changing its pre-tokens: before a space or newline that follows a character that isn't blank, and between an ASCII letter and one of these punctuation marks.
+CHUNK = re.compile(r"\s*[A-Za-z]+(?=[.,;:!?)])|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+#: A chunk that is one pre-token: Latin letters after a space or none.
+ONE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: How byte-level BPE writes each byte: printable Latin-1 characters as themselves, the others as 256, 257, ...
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
-    A single space between two characters that aren't blank always begins a
-    pre-token of byte-level BPE, so a text is the concatenation of its chunks
-    cut there, and chunks repeat. Other tokenizers, and texts that hold the
-    string of an added token, are encoded whole.
+
+class Encoder(dict):
+    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes; as a mapping, those of chunks.
+
+    A text is the concatenation of its chunks, which repeat. A chunk that is
+    one pre-token goes straight to the tokenizer's model. Texts that hold the
+    string of an added token, and all texts of tokenizers that aren't plain
+    byte-level BPE, are encoded whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         before = told.get("pre_tokenizer") or {}
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [t["content"] for t in told.get("added_tokens", [])]
-        self.held: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if ONE.fullmatch(chunk):
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTES))]
+        else:
+            ids = self.whole.encode(chunk, add_special_tokens=False).ids
+        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def __call__(self, text: str) -> bytes:
         if not self.cuts or any(a in text for a in self.added):
-            return self._ids([text])[0]
-        chunks: list[str] = []
-        for k, x in enumerate(text.split(" ")):
-            if k and chunks and x and not x[0].isspace() and not chunks[-1][-1:].isspace() and chunks[-1]:
-                chunks.append(" " + x)
-            elif k and chunks:
-                chunks[-1] += " " + x
-            else:
-                chunks.append(x)
-        held = self.held
-        missing = [c for c in dict.fromkeys(chunks) if c not in held]
-        if missing:
-            if len(held) > REMEMBERED:
-                held.clear()
-                missing = list(dict.fromkeys(chunks))
-            held.update(zip(missing, self._ids(missing), strict=True))
-        return b"".join([held[c] for c in chunks])
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
 def _pieces(path: str, capacity: int, end_id: int | None):
