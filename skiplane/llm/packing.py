@@ -42,6 +42,8 @@ ROUNDS = 400
 CHUNK = re.compile(r"\s*[A-Za-z]+(?=[.,;:!?)])|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 #: A chunk that is one pre-token: Latin letters after a space or none.
 ONE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Pre-tokens of a chunk in ASCII: contractions, letters, digits, other marks, blanks.
+ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: How byte-level BPE writes each byte: printable Latin-1 characters as themselves, the others as 256, 257, ...
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -50,8 +52,8 @@ BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(
 class Encoder(dict):
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes; as a mapping, those of chunks.
 
-    A text is the concatenation of its chunks, which repeat. A chunk that is
-    one pre-token goes straight to the tokenizer's model. Texts that hold the
+    A text is the concatenation of its chunks, which repeat. Pre-tokens of
+    chunks in ASCII or of Latin letters go straight to the tokenizer's model. Texts that hold the
     string of an added token, and all texts of tokenizers that aren't plain
     byte-level BPE, are encoded whole.
     """
@@ -74,6 +76,8 @@ class Encoder(dict):
             self.clear()
         if ONE.fullmatch(chunk):
             ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTES))]
+        elif chunk.isascii():
+            ids = [t.id for p in ASCII.findall(chunk) for t in self.model.tokenize(p.translate(BYTES))]
         else:
             ids = self.whole.encode(chunk, add_special_tokens=False).ids
         out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
