@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+class Remembered(dict):
+    """``f`` of strings, kept for up to ``most`` strings of at most ``longest`` characters; longer ones are computed each time."""
+
+    def __init__(self, f: Callable[[str], object], most: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.f, self.most, self.longest = f, most, longest
+
+    def __missing__(self, key: str):
+        out = self.f(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
+        return out
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Batches regrouped so that rows of one key, adjacent in the input, are never split; groups are gathered up to ``most_bytes``."""
     held: list[pa.RecordBatch] = []

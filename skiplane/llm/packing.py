@@ -12,6 +12,7 @@ class belongs to a known copy of a known pattern.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skiplane.llm import textbytes as tb
-from skiplane.llm.common import cut, pick
+from skiplane.llm.common import Remembered, cut, pick
 
 #: Bytes of text handled at a time.
 SLICE = 1 << 21
-#: Distinct chunks that a task remembers with their ids.
-REMEMBERED = 300_000
+#: Distinct pieces between spaces that a task remembers with their ids, and four times the chunks.
+REMEMBERED = 500_000
 #: Rows of one class that one task ranks, about.
 ROWS_A_TASK = 500_000
 #: Width of a class of lengths: a piece counts as the next multiple.
@@ -40,6 +41,7 @@ ROUNDS = 400
 
 #: Where a text may be cut without changing its pre-tokens: before a space or newline that follows a character that isn't blank, and between an ASCII letter and one of these punctuation marks.
 CHUNK = re.compile(r"\s*[A-Za-z]+(?=[.,;:!?)])|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+MARKS = ".,;:!?)"
 #: A chunk that is one pre-token: Latin letters after a space or none.
 ONE = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Pre-tokens of a chunk in ASCII: contractions, letters, digits, other marks, blanks.
@@ -49,17 +51,25 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
-class Encoder(dict):
-    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes; as a mapping, those of chunks.
+def packed(tokens: list) -> bytes:
+    return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    A text is the concatenation of its chunks, which repeat. Pre-tokens of
+
+class Blank(Exception):
+    """A piece between spaces is empty or ends with a blank."""
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+
+    A text is the concatenation of its chunks, which repeat; in most texts each
+    space begins one, so that splitting at spaces finds them. Pre-tokens of
     chunks in ASCII or of Latin letters go straight to the tokenizer's model. Texts that hold the
     string of an added token, and all texts of tokenizers that aren't plain
     byte-level BPE, are encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -71,23 +81,47 @@ class Encoder(dict):
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.added = [t["content"] for t in told.get("added_tokens", [])]
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+        self.chunks, self.spaced = Remembered(self.chunk, REMEMBERED // 4), Remembered(self.after_space, REMEMBERED)
+
+    def chunk(self, chunk: str) -> bytes:
         if ONE.fullmatch(chunk):
-            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTES))]
-        elif chunk.isascii():
-            ids = [t.id for p in ASCII.findall(chunk) for t in self.model.tokenize(p.translate(BYTES))]
-        else:
-            ids = self.whole.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+            return packed(self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTES)))
+        if chunk.isascii():
+            return b"".join(packed(self.model.tokenize(p.translate(BYTES))) for p in ASCII.findall(chunk))
+        ids = self.whole.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
+
+    def after_space(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise Blank
+        if piece.isascii():
+            if piece.isalpha():
+                return packed(self.model.tokenize(chr(BYTES[0x20]) + piece))
+            if piece[-1] in MARKS and piece[:-1].isalpha():
+                return self.spaced[piece[:-1]] + self.chunks[piece[-1]]
+        return self.cut(" " + piece)
 
     def __call__(self, text: str) -> bytes:
         if not self.cuts or any(a in text for a in self.added):
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        first, *pieces = text.split(" ")
+        if not pieces or not first or first[-1].isspace():
+            return self.cut(text)
+        last = pieces.pop()
+        try:
+            return self.cut(first) + b"".join(map(self.spaced.__getitem__, pieces)) + self.cut(" " + last)
+        except Blank:
+            return self.cut(text)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One a process, so that the tasks of a worker share what it remembers."""
+    return Encoder(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int | None):
@@ -95,7 +129,7 @@ def _pieces(path: str, capacity: int, end_id: int | None):
     tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in tb.slices(batches, "text", SLICE):
             out: list[list[int | None]] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -16,8 +16,8 @@ def test_ids_are_those_of_the_tokenizer():
     path = tokenizers.path("byte_bpe_50k.json")
     whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
     rng = random.Random(1)
-    parts = ["the", " ", "  ", "\n", " \n", "don't", "it's", "Ünï", "12", "3.5", "!!", "\t", " ", "　", "日本", "<|endoftext|>", "'", "_", "é", "\x1c", "​", "😀"]
-    for _ in range(1500):
+    parts = ["the", " ", " ", "Th,", "a.b", ")", ":", ".", "  ", "\n", " \n", "don't", "it's", "Ünï", "12", "3.5", "!!", "\t", " ", "　", "日本", "<|endoftext|>", "'", "_", "é", "\x1c", "​", "😀"]
+    for _ in range(6000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
