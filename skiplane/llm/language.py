@@ -33,6 +33,8 @@ LEAST_SHARE = 2e-5
 FLOOR_SHARE = 1e-7
 #: Entries that a task gathers before it hands them on.
 GATHERED = 400_000
+#: Characters of the texts that these entries come from, at most.
+GATHERED_SIZE = 1 << 26
 SLICE = 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,20 +44,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def words_of(raw: str) -> list[str]:
+    return [raw] if raw.isalpha() else WORD.findall(raw)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+    held: dict[str, Counter] = {}  # of what stands between blanks
+    size = 0
 
     def told() -> pa.RecordBatch:
-        lang = [lang for lang, c in held.items() for _ in c]
-        out = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int64())], names=["lang", "word", "n"])
+        langs, words, counts = [], [], []
+        for lang, raws in held.items():
+            found: dict[str, int] = {}
+            for raw, n in raws.items():
+                for w in words_of(raw):
+                    found[w] = found.get(w, 0) + n
+            langs += [lang] * len(found)
+            words += found.keys()
+            counts += found.values()
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
 
     for batch in tb.slices(batches, "text", SLICE):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
-        if sum(map(len, held.values())) > GATHERED:
+            held.setdefault(lang, Counter()).update((text or "").lower().split())
+            size += len(text or "")
+        if sum(map(len, held.values())) > GATHERED or size > GATHERED_SIZE:
             yield told()
+            size = 0
     if held:
         yield told()
 
@@ -67,21 +83,22 @@ def grams(word: str, n: int) -> list[str]:
 
 def _grams_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", "size", "gram", "n"]
-    held: dict[tuple[str, int, str], int] = {}
+    held: dict[str, dict[str, int]] = {}
 
     def told() -> pa.RecordBatch:
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], names=names)
+        pieces = [g for found in held.values() for g in found]
+        langs = [lang for lang, found in held.items() for _ in found]
+        counts = [n for found in held.values() for n in found.values()]
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(map(len, pieces), pa.int32()), pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], names=names)
 
     for batch in batches:
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            found = held.setdefault(lang, {})
             for size in LENGTHS:
                 for g in grams(word, size):
-                    key = (lang, size, g)
-                    held[key] = held.get(key, 0) + n
-            if len(held) > GATHERED:
+                    found[g] = found.get(g, 0) + n
+            if len(found) > GATHERED:
                 yield told()
     if held:
         yield told()
@@ -97,9 +114,42 @@ class Model:
         for size in LENGTHS:
             found = [g for g in map(self.grams.get(size, {}).get, grams(word, size)) if g is not None]
             if found:
-                return np.mean(found, axis=0)
+                return np.add.reduce(found, dtype=np.float64) / len(found)
         return None
 
+    def sums(self, raw: str) -> np.ndarray:
+        """Of the words in ``raw``, summed: an entry for each language, and whether there is a letter."""
+        out = np.zeros(len(self.langs) + 1)
+        for word in words_of(raw):
+            of = self.words.get(word)
+            of = self.unknown(word) if of is None else of
+            if of is not None:
+                out[:-1] += of
+        out[-1] = any(map(str.isalpha, raw))
+        return out
+
+
+class Places(dict):
+    """Rows of ``table`` that hold ``model.sums`` of strings; emptied between texts by ``trim``."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.size = model, 0
+        self.table = np.zeros((1024, len(model.langs) + 1))
+
+    def __missing__(self, raw: str) -> int:
+        at = self[raw] = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = self.model.sums(raw)
+        self.size += len(raw)
+        return at
+
+    def trim(self) -> None:
+        if len(self) > GATHERED or self.size > GATHERED_SIZE:
+            self.clear()
+            self.size = 0
+
 
 def _table(rows: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
     if not len(rows):
@@ -133,30 +183,19 @@ def _predicted(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         langs = model.langs
-        place = {w: i for i, w in enumerate(model.words)}
-        known = np.array(list(model.words.values())).reshape(-1, len(langs)) if langs else np.zeros((0, 0))
-        backed: dict[str, np.ndarray | None] = {}
+        places = Places(model)
         for batch in tb.slices(batches, "text", SLICE):
             pred, scores = [], []
             for text in batch.column("text").to_pylist():
-                words = WORD.findall((text or "").lower())
-                if not words or not langs:
+                raws = (text or "").lower().split()
+                places.trim()
+                at = np.fromiter(map(places.__getitem__, raws), dtype=np.int64, count=len(raws))
+                total = sum((places.table[at[i : i + 65536]].sum(axis=0) for i in range(0, len(at), 65536)), np.zeros(len(langs) + 1))
+                if not total[-1] or not langs:
                     pred.append("und")
                     scores.append(0.0)
                     continue
-                counts = Counter(words)
-                at = [place.get(w, -1) for w in counts]
-                n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                ids = np.array(at)
-                total = (known[ids[ids >= 0]] * n[ids >= 0, None]).sum(axis=0, dtype=np.float64)
-                if len(backed) > GATHERED:
-                    backed.clear()
-                for w, k in zip(counts, at, strict=True):
-                    if k < 0:
-                        if w not in backed:
-                            backed[w] = model.unknown(w)
-                        if backed[w] is not None:
-                            total = total + backed[w] * counts[w]
+                total = total[:-1]
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
