@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiplane.llm import textbytes as tb
-from skiplane.llm.common import cut, pick
+from skiplane.llm.common import Remembered, cut, pick
 
 #: Id 0 stands beyond the ends of a text; then the frequent words; then the hashed rest.
 FREQUENT, HASHED = 255, 256
@@ -35,21 +35,36 @@ SIDE, HIDDEN = 2, 24
 ROUNDS, STRIDE, BATCH, RATE = 3, 16, 2048, 0.1
 #: Entries that a task gathers before it hands them on.
 GATHERED = 400_000
+#: Characters of the texts that these entries come from, at most.
+GATHERED_SIZE = 1 << 26
+#: Largest logit, in absolute value, whose exponential needs no shift in 32 bits.
+SAFE = 75.0
 SLICE = 1 << 22
 FIXED = float(1 << 24)
 WORD = re.compile(r"\w+|[^\w\s]")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    for batch in batches:
+    held: Counter = Counter()  # of what stands between blanks
+    size = 0
+
+    def told() -> pa.RecordBatch:
+        words: dict[str, int] = {}
+        for raw, n in held.items():
+            for w in WORD.findall(raw):
+                words[w] = words.get(w, 0) + n
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    for batch in tb.slices(batches, "text", SLICE):
         for text in batch.column("text").to_pylist():
-            held.update(WORD.findall(text.lower()))
-            if len(held) > GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-                held.clear()
+            held.update(text.lower().split())
+            size += len(text)
+            if len(held) > GATHERED or size > GATHERED_SIZE:
+                yield told()
+                size = 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        yield told()
 
 
 def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
@@ -69,17 +84,14 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
 
 
 def _numbered(ids: dict[str, int]):
-    class Ids(dict):
-        def __missing__(self, word: str) -> int:
-            out = 1 + FREQUENT + zlib.crc32(word.encode()) % HASHED
-            if len(self) < GATHERED:
-                self[word] = out
-            return out
+    def numbers(raw: str) -> bytes:
+        found = [ids.get(w) or 1 + FREQUENT + zlib.crc32(w.encode()) % HASHED for w in WORD.findall(raw)]
+        return np.array(found, dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Ids(ids)
+        of = Remembered(numbers, GATHERED)
         for batch in tb.slices(batches, "text", SLICE):
-            out = [np.array([of[w] for w in WORD.findall((text or "").lower())], dtype="<u2").tobytes() for text in batch.column("text").to_pylist()]
+            out = [b"".join(map(of.__getitem__, (text or "").lower().split())) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -96,6 +108,7 @@ class Network:
             flat = np.concatenate([p.ravel() for p in parts])
         self.flat = flat.astype(np.float32)
         self.near, self.bias, self.out, self.base = self.views(self.flat)
+        self.wide = self.widened(self.flat)
 
     def views(self, flat: np.ndarray) -> list[np.ndarray]:
         out, at = [], 0
@@ -105,41 +118,57 @@ class Network:
             at += n
         return out
 
+    def widened(self, flat: np.ndarray) -> np.ndarray:
+        """out with base as its last row, which stand side by side."""
+        return flat[-(HIDDEN + 1) * SIZE :].reshape(HIDDEN + 1, SIZE)
+
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.bias + self.near[0][around[0]]
+        return self.layer(around)[:, :HIDDEN]
+
+    def layer(self, around: np.ndarray) -> np.ndarray:
+        """The hidden layer, with a column of ones for base."""
+        total = self.bias + self.near[0].take(around[0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += self.near[k][around[k]]
-        return np.tanh(total, out=total)
+            total += self.near[k].take(around[k], axis=0)
+        out = np.ones((len(total), HIDDEN + 1), dtype=np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
+
+    def safe(self) -> bool:
+        """Whether no logit can need a shift: the hidden layer is within -1 and 1."""
+        return bool(np.abs(self.wide).sum(axis=0).max() < SAFE)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), dtype=np.float64)
-        for i in range(0, len(target), 4 * BATCH):
-            part = slice(i, i + 4 * BATCH)
-            logits = self.hidden(around[:, part]) @ self.out
-            logits += self.base
+        safe, ones, room = self.safe(), np.ones(SIZE, dtype=np.float32), np.empty((BATCH, SIZE), dtype=np.float32)
+        for i in range(0, len(target), BATCH):
+            part = slice(i, i + BATCH)
+            h = self.layer(around[:, part])
+            logits = np.dot(h, self.wide, out=room[: len(h)])
+            if not safe:
+                logits -= logits.max(axis=1)[:, None]
             picked = logits[np.arange(len(logits)), target[part]].astype(np.float64)
-            logits -= (top := logits.max(axis=1))[:, None]
-            out[part] = picked - top - np.log(np.exp(logits, out=logits).sum(axis=1))
+            out[part] = picked - np.log(np.exp(logits, out=logits) @ ones)
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, held: np.ndarray) -> None:
         """One step of Adagrad on a batch; ``held`` sums squared gradients."""
         n = len(target)
-        h = self.hidden(around)
-        p = h @ self.out + self.base
-        p -= p.max(axis=1, keepdims=True)
+        h = self.layer(around)
+        p = h @ self.wide
+        if not self.safe():
+            p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
+        p /= n * p.sum(axis=1, keepdims=True)
+        p[np.arange(n), target] -= np.float32(1 / n)
         slope = np.zeros_like(self.flat)
-        near, bias, out, base = self.views(slope)
-        out += h.T @ p
-        base += p.sum(axis=0)
+        near, bias, _, _ = self.views(slope)
+        np.dot(h.T, p, out=self.widened(slope))
+        h = h[:, :HIDDEN]
         back = (p @ self.out.T) * (1 - h * h)
         bias += back.sum(axis=0)
         for k in range(2 * SIDE):
-            order = np.argsort(around[k], kind="stable")
+            order = np.argsort(around[k].astype(np.uint16), kind="stable")
             ids = around[k][order]
             starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             near[k][ids[starts]] += np.add.reduceat(back[order], starts)

@@ -20,6 +20,19 @@ def test_slopes_are_those_of_the_loss(monkeypatch):
     assert network.log_probabilities(around, target).mean() > before
 
 
+def test_great_logits_are_shifted():
+    rng = np.random.default_rng(3)
+    network = lm.Network(rng.integers(1, 50, lm.SIZE))
+    network.out *= 400
+    around, target = rng.integers(0, lm.SIZE, (2 * lm.SIDE, 3000)), rng.integers(0, lm.SIZE, 3000)
+    logits = network.hidden(around).astype(np.float64) @ network.out + network.base
+    top = logits.max(axis=1)
+    want = logits[np.arange(3000), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    assert not network.safe() and np.allclose(network.log_probabilities(around, target), want, atol=1e-2)
+    network.learn(around, target, np.full_like(network.flat, 1e-6))
+    assert np.isfinite(network.flat).all()
+
+
 def test_order_of_words_matters_after_training(spark):
     rng = random.Random(2)
     clean = [" ".join(["red", "green", "blue", "sun"][k % 4] for k in range(s, s + 80)) for s in (rng.randrange(4) for _ in range(400))]
