@@ -6,9 +6,10 @@ are a linear function of tanh of the summed vectors of its neighbours, each
 place with a table of its own; the token itself is never an input.
 
 Counts cover all texts. Training goes over all documents in ``ROUNDS`` rounds:
-a task starts from the common weights, takes every ``STRIDE``-th position of
-each of its documents (others each round), and hands on its weights, which are
-averaged by Spark in fixed point, so that the order of tasks doesn't matter.
+a task starts from the common weights, takes one in ``ROUNDS`` positions of each
+of its documents (others each round, so that the rounds together take every
+position once), and hands on its weights, which are averaged by Spark in fixed
+point, so that the order of tasks doesn't matter.
 The weights have a fixed number; only they come to the driver.
 """
 
@@ -32,7 +33,7 @@ FREQUENT, HASHED = 255, 256
 SIZE = 1 + FREQUENT + HASHED
 #: Neighbours on each side, width of the hidden layer.
 SIDE, HIDDEN = 2, 24
-ROUNDS, STRIDE, BATCH, RATE = 3, 16, 2048, 0.1
+ROUNDS, BATCH, RATE = 3, 2048, 0.1
 #: Entries that a task gathers before it hands them on.
 GATHERED = 400_000
 #: Characters of the texts that these entries come from, at most.
@@ -159,13 +160,15 @@ class Network:
         if not self.safe():
             p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= n * p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= np.float32(1 / n)
+        total = p @ np.ones(SIZE, dtype=np.float32)
+        p[np.arange(n), target] -= total  # slopes of the logits, times n * total
+        share = (1 / total)[:, None]
         slope = np.zeros_like(self.flat)
         near, bias, _, _ = self.views(slope)
-        np.dot(h.T, p, out=self.widened(slope))
+        np.dot((h * share).T, p, out=self.widened(slope))
+        self.widened(slope)[:] /= n
         h = h[:, :HIDDEN]
-        back = (p @ self.out.T) * (1 - h * h)
+        back = (p @ self.out.T) * (share / n) * (1 - h * h)
         bias += back.sum(axis=0)
         for k in range(2 * SIDE):
             order = np.argsort(around[k].astype(np.uint16), kind="stable")
@@ -187,14 +190,14 @@ def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return padded[at], around, sizes, tb.ranges(np.zeros(len(sizes), np.int64), sizes)
 
 
-def _trained(held, round_: int):
+def _trained(held, round_: int, rounds: int = ROUNDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, seen = Network(flat=held.value.copy()), 0
         squares = np.full_like(network.flat, 1e-6)
         around, target = np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
         for batch in tb.slices(batches, "ids", SLICE):
             ids, near, _, place = _windows(batch)
-            take = place % STRIDE == (5 * round_) % STRIDE
+            take = place % rounds == round_
             around, target = np.concatenate([around, near[:, take]], axis=1), np.concatenate([target, ids[take]])
             while len(target) >= BATCH:
                 network.learn(around[:, :BATCH], target[:BATCH], squares)
@@ -216,7 +219,7 @@ def train(numbered: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Netw
     spark = numbered.sparkSession
     network = Network(counts)
     for round_ in range(rounds):
-        told = numbered.mapInArrow(_trained(spark.sparkContext.broadcast(network.flat), round_), "at int, value bigint, n bigint")
+        told = numbered.mapInArrow(_trained(spark.sparkContext.broadcast(network.flat), round_, rounds), "at int, value bigint, n bigint")
         mean = told.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("n").alias("n"))
         rows = mean.select("at", (F.col("value").cast("double") / F.col("n")).alias("value")).toPandas()  # one row a weight
         if len(rows):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from skiplane.llm import lm_score as lm
 
@@ -46,3 +47,17 @@ def test_order_of_words_matters_after_training(spark):
     assert mean(range(400)) > mean(range(400, 420)) + 0.3
     assert all(np.isclose(r["log_likelihood"], r["mean_log_likelihood"] * r["n_tokens"]) for r in got if r["n_tokens"])
     assert lm.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def test_every_position_is_a_target_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Network, "learn", lambda self, around, target, held: seen.extend(target.tolist()))
+
+    class Held:
+        value = lm.Network(np.ones(lm.SIZE)).flat
+
+    ids = np.arange(1, lm.SIZE, dtype="<u2")  # each id at one place
+    texts = [x.tobytes() for x in (ids[:1], ids[1:6], ids[6:26], ids[26:])] + [b""]
+    for round_ in range(lm.ROUNDS):
+        list(lm._trained(Held, round_)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["ids"])])))
+    assert sorted(seen) == ids.tolist()
