@@ -3,25 +3,30 @@
 Tokens are lower-cased words; the ``FREQUENT`` most frequent of the corpus have
 an id of their own, all others share ``HASHED`` ids by hash. A token's logits
 are a linear function of tanh of the summed vectors of its neighbours, each
-place with a table of its own; the token itself is never an input.
+place with a table of its own; the token itself is never an input. The chance
+of a word that shares an id is that of the id, by the network, times the word's
+share of the id by the counts of all words, which are joined and stay with the
+executors. ``UNSEEN`` is added to each count, and once for all unseen words.
 
 Counts cover all texts. Training goes over all documents in ``ROUNDS`` rounds:
 a task starts from the common weights, takes one in ``ROUNDS`` positions of each
 of its documents (others each round, so that the rounds together take every
 position once), and hands on its weights, which are averaged by Spark in fixed
 point, so that the order of tasks doesn't matter.
-The weights have a fixed number; only they come to the driver.
+The weights have a fixed number; only they and the counts by id come to the driver.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,10 @@ GATHERED_SIZE = 1 << 26
 #: Largest logit, in absolute value, whose exponential needs no shift in 32 bits.
 SAFE = 75.0
 SLICE = 1 << 22
+#: Characters of the documents that share a list of words, at most about (a longer text stands alone).
+PART = 1 << 24
+#: Added to the count of a word that shares an id.
+UNSEEN = 0.5
 FIXED = float(1 << 24)
 WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -68,32 +77,80 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Ids of the frequent words, and how often each id occurs."""
+def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray, DataFrame]:
+    """Ids of the frequent words, how often each id occurs, how many words have it, and the counts of all words (word, n)."""
     words = cut(docs.where("text IS NOT NULL").select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    shared = words.groupBy((F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("at")).agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(SIZE, dtype=np.int64)
+    shared = words.groupBy((F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    counts, kinds = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=np.int64)
     for r in shared:
-        counts[1 + FREQUENT + r["at"]] = r["n"]
+        counts[1 + FREQUENT + r["at"]], kinds[1 + FREQUENT + r["at"]] = r["n"], r["kinds"]
     ids = {}
     for i, r in enumerate(top):
         ids[r["word"]] = 1 + i
-        counts[1 + i] = r["n"]
-        counts[1 + FREQUENT + zlib.crc32(r["word"].encode()) % HASHED] -= r["n"]
-    return ids, counts
+        counts[1 + i], kinds[1 + i] = r["n"], 1
+        at = 1 + FREQUENT + zlib.crc32(r["word"].encode()) % HASHED
+        counts[at] -= r["n"]
+        kinds[at] -= 1
+    return ids, counts, kinds, words
+
+
+NUMBERED = "part bigint, doc_id bigint, ids binary, own binary, words array<string>"
+NAMES = ["part", "doc_id", "ids", "own", "words"]
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The values of each row, one row after the other, as bytes."""
+    ends = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def _numbered(ids: dict[str, int]):
-    def numbers(raw: str) -> bytes:
-        found = [ids.get(w) or 1 + FREQUENT + zlib.crc32(w.encode()) % HASHED for w in WORD.findall(raw)]
-        return np.array(found, dtype="<u2").tobytes()
+    """Rows of texts: part, doc_id, ids, and own, the places of the words that share an id in the list of the part. One row more a part has that list, and no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Remembered(numbers, GATHERED)
+        part, size = TaskContext.get().partitionId() << 32, 0
+        places: dict[str, int] = {}
+        shared = array("H")  # the ids of these words
+
+        def codes(raw: str) -> bytes:
+            """Ids and, beyond them, places."""
+            out = []
+            for w in WORD.findall(raw):
+                code = ids.get(w)
+                if code is None:
+                    if w not in places:
+                        places[w] = len(places)
+                        shared.append(1 + FREQUENT + zlib.crc32(w.encode()) % HASHED)
+                    code = SIZE + places[w]
+                out.append(code)
+            return np.array(out, dtype="<u4").tobytes()
+
+        def listed() -> pa.RecordBatch:
+            none = pa.nulls(1, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.int64()), none, none, pa.array([list(places)], pa.list_(pa.string()))], names=NAMES)
+
+        of = Remembered(codes, GATHERED)
         for batch in tb.slices(batches, "text", SLICE):
-            out = [b"".join(map(of.__getitem__, (text or "").lower().split())) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            texts = batch.column("text").to_pylist()
+            found = [b"".join(map(of.__getitem__, (text or "").lower().split())) for text in texts]
+            sizes = np.array([len(x) // 4 for x in found])
+            code = np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)
+            own = code >= SIZE
+            number = code.copy()
+            number[own] = np.array(shared, dtype=np.int64)[code[own] - SIZE]
+            n_own = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(sizes)])])
+            columns = [pa.array(np.full(len(texts), part, np.int64)), batch.column("doc_id"), _packed(number.astype("<u2"), sizes), _packed((code[own] - SIZE).astype("<u4"), n_own), pa.nulls(len(texts), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+            size += sum(len(text or "") for text in texts)
+            if size >= PART or len(places) >= GATHERED:
+                yield listed()
+                places.clear()
+                of.clear()
+                del shared[:]
+                part, size = part + 1, 0
+        if places:
+            yield listed()
 
     return run
 
@@ -229,16 +286,35 @@ def train(numbered: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Netw
     return network
 
 
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
+
+
+def _wholes(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Of each shared id, the logarithm of what the counts of its words are divided by; 0 for the ids of one word."""
+    out = np.log(counts + UNSEEN * (kinds + 1))
+    out[: 1 + FREQUENT] = 0
+    return out
+
+
 def _scored(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(flat=held.value.copy())
-        for batch in tb.slices(batches, "ids", SLICE >> 3):
+    """Scores of the documents of a part, given the counts of the words in its list."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        flat, wholes = held.value
+        network = Network(flat=flat.copy())
+        of = np.zeros(words.num_rows)
+        of[words.column("place").to_numpy()] = np.log(words.column("n").to_numpy() + UNSEEN)
+        out = []
+        for batch in tb.slices(iter(docs.to_batches()), "ids", SLICE >> 3):
             ids, around, sizes, _ = _windows(batch)
-            sums = np.concatenate([[0], np.cumsum(network.log_probabilities(around, ids))])
+            one = network.log_probabilities(around, ids) - wholes[ids]
+            one[ids > FREQUENT] += of[np.frombuffer(b"".join(batch.column("own").to_pylist()), dtype="<u4")]
+            sums = np.concatenate([[0], np.cumsum(one)])
             ends = np.cumsum(sizes)
             total = sums[ends] - sums[ends - sizes]
             mean = pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(total), mean], schema=SCORES))
+        return pa.Table.from_batches(out, schema=SCORES)
 
     return run
 
@@ -252,7 +328,11 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = pick(docs, doc_id="bigint", text="string")
-    ids, counts = vocabulary(docs)
-    numbered = cut(docs.mapInArrow(_numbered(ids), "doc_id bigint, ids binary"))
-    network = train(numbered, counts)
-    return numbered.mapInArrow(_scored(spark.sparkContext.broadcast(network.flat)), "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    ids, counts, kinds, words = vocabulary(docs)
+    numbered = cut(docs.mapInArrow(_numbered(ids), NUMBERED))
+    texts = numbered.where("ids IS NOT NULL").select("part", "doc_id", "ids", "own")
+    network = train(texts.select("ids"), counts)
+    lists = numbered.where("words IS NOT NULL").select("part", F.posexplode("words").alias("place", "word"))
+    known = lists.join(words, "word", "left").select(F.col("part").alias("of"), "place", F.coalesce("n", F.lit(0)).alias("n"))
+    held = spark.sparkContext.broadcast((network.flat, _wholes(counts, kinds)))
+    return texts.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(_scored(held), "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +62,18 @@ def test_every_position_is_a_target_once(monkeypatch):
     for round_ in range(lm.ROUNDS):
         list(lm._trained(Held, round_)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["ids"])])))
     assert sorted(seen) == ids.tolist()
+
+
+def test_words_of_one_id_are_told_apart(spark):
+    of: dict[int, list[str]] = {}
+    for i in range(3000):
+        of.setdefault(zlib.crc32(f"w{i}".encode()) % lm.HASHED, []).append(f"w{i}")
+    often, rare = next(x for x in of.values() if len(x) > 1)[:2]
+    frequent = " ".join(f"f{i}" for i in range(lm.FREQUENT)) + " "
+    rows = [(1, often), (2, rare), (3, " ".join([often] * 9)), (4, frequent * 20), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(df).collect()}
+    assert len(got) == 5 and np.isclose(got[1] - got[2], np.log(10.5 / 1.5), atol=1e-5)
+    counts, kinds = np.zeros(lm.SIZE), np.zeros(lm.SIZE)
+    counts[-1], kinds[-1] = 11, 2  # the words of an id, and the unseen, share it whole
+    assert np.isclose(sum(np.exp(np.log(n + lm.UNSEEN) - lm._wholes(counts, kinds)[-1]) for n in (10, 1, 0)), 1)
