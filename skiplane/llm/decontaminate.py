@@ -82,7 +82,7 @@ def _scanned(held, schema: pa.Schema):
             start, end, first = texts.words(tb.ALPHANUMERIC)
             word = tb.span(texts.prefix(_FOLDED), start, end)
             owner = np.repeat(np.arange(len(texts)), np.diff(first))
-            items: list[set[str]] = [set() for _ in range(len(texts))]
+            items: list[set[str | None]] = [set() for _ in range(len(texts))]
             hits: list[tuple[int, int]] = []
             if "__hits" in batch.schema.names:  # what the blocks before have found
                 for i, (old, of) in enumerate(zip(batch.column("__hits").to_pylist(), batch.column("__items").to_pylist(), strict=True)):
@@ -113,7 +113,7 @@ def _scanned(held, schema: pa.Schema):
             more = [
                 pa.array(np.diff(first)),
                 pa.array([[{"first": a, "past": b} for a, b in s] for s in spans], type=schema.field("__hits").type),
-                pa.array([sorted(s) for s in items], type=schema.field("__items").type),
+                pa.array([sorted(s, key=lambda x: (x is None, x or "")) for s in items], type=schema.field("__items").type),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names if c not in ("__n_words", "__hits", "__items")] + more, names=names)
 
@@ -123,7 +123,8 @@ def _scanned(held, schema: pa.Schema):
 def _blocks(benchmark: DataFrame, size: int, most: int) -> list[list]:
     """The distinct windows with their items, in blocks; one at least."""
     windows = pick(benchmark, item="item_id:string", text="string").mapInArrow(_item_windows(size), "item string, n int, hash bigint, words binary")
-    distinct = windows.where("item IS NOT NULL").groupBy("n", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = F.sort_array(F.collect_set("item"))  # without null, which is put back
+    distinct = windows.groupBy("n", "hash", "words").agg(F.when(F.bool_or(F.col("item").isNull()), F.array_append(items, F.lit(None).cast("string"))).otherwise(items).alias("items"))
     n = distinct.count()
     if n <= most:
         return [distinct.collect()]
@@ -133,12 +134,12 @@ def _blocks(benchmark: DataFrame, size: int, most: int) -> list[list]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_windows: int | None = None) -> DataFrame:
-    """``docs`` with three more columns: __n_words, __hits (array of first, past: ranges of words) and __items (sorted item_ids as text).
+    """``docs`` with three more columns: __n_words, __hits (array of first, past: ranges of words) and __items (sorted item_ids as text, a null id last).
 
     Words are runs of ASCII letters and digits and of all characters beyond
     ASCII, A-Z lower-cased. An item's windows are its runs of ``size`` words;
     an item of fewer words, but not none, is one window. Null texts have no
-    words; items without words or id have no windows. Needs the column text.
+    words; items without words have no windows. All items without id count as one. Needs the column text.
     """
     spark = docs.sparkSession
     columns = docs.columns

@@ -51,3 +51,15 @@ def test_empty_tables(spark):
     assert [r["contaminated"] for r in dc.contaminated(d, b.limit(0)).collect()] == [False, False]
     assert dc.contaminated(d.limit(0), b).count() == 0
     assert sorted(r["n_hit"] for r in dc.contaminated(d, b).collect()) == [0, 80000]
+
+
+def test_items_without_id(spark):
+    docs = [(1, "x a b c d y"), (2, "a b c d e"), (3, "p q"), (4, "r s t"), (5, "none of it")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, "a b c d"), (7, "b c d e"), (None, "p q"), (None, "r s t"), (8, "r s t")], "item_id bigint, text string")
+    want = {1: (4, [None]), 2: (5, ["7", None]), 3: (2, [None]), 4: (3, ["8", None]), 5: (0, [])}
+    for most in (500_000, 2):
+        dc.MOST_WINDOWS = most
+        assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in dc.contaminated(d, b, 4).collect()} == want
+        assert [r["doc_id"] for r in dc.drop_contaminated(d, b, 4).collect()] == [5]
+    dc.MOST_WINDOWS = 500_000
