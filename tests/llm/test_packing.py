@@ -22,13 +22,37 @@ def test_ids_are_those_of_the_tokenizer():
         assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_every_character_and_long_runs_are_encoded_alike():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode.plain is not None
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)} {chr(c)}1 " for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for text in [*texts, "a" * 1_000_000, " " * 300_000, "x \n " * 50_000]:
+        assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text[:40])
+
+
+def test_column_generation_says_whether_it_is_done():
+    rng = np.random.default_rng(4)
+    histogram = np.zeros(513, dtype=np.int64)
+    for at in (190, 260):
+        for k in np.clip(rng.normal(at, 25, 200_000).astype(int), 1, 512):
+            histogram[k] += 1
+    plan = packing.patterns(histogram, 512)
+    assert plan.proved and plan.bound <= plan.uses.sum() <= plan.bound * 1.001 + 1 + np.count_nonzero(histogram)
+    assert (plan.uses @ plan.rows == histogram).all()
+    assert not packing.patterns(histogram, 512, rounds=1).proved
+
+
 def test_patterns_cover_the_histogram():
     rng = np.random.default_rng(2)
     for n in (5, 3000):
         histogram = np.zeros(257, dtype=np.int64)
         for k in rng.integers(1, 257, n):
             histogram[k] += 1
-        rows, uses = packing.patterns(histogram, 256)
+        rows, uses, *_ = packing.patterns(histogram, 256)
         assert (uses @ rows == histogram).all() and ((rows @ np.arange(257)) <= 256).all()
         least = int(np.ceil((histogram @ np.arange(257)) / 256))
         assert uses.sum() <= max(least * 1.06, least + 2)
