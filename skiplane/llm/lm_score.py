@@ -1,190 +1,181 @@
 """Masked pseudo-likelihood: a small window network, trained in numpy, predicts every token from both sides.
 
-Tokens are lower-cased words; the ``FREQUENT`` most frequent of the corpus have
-an id of their own, all others share ``HASHED`` ids by hash. A token's logits
-are a linear function of tanh of the summed vectors of its neighbours, each
-place with a table of its own; the token itself is never an input. The chance
-of a word that shares an id is that of the id, by the network, times the word's
-share of the id by the counts of all words, which are joined and stay with the
-executors. ``UNSEEN`` is added to each count, and once for all unseen words.
-
-Counts cover all texts. Training goes over all documents in ``ROUNDS`` rounds:
-a task starts from the common weights, takes one in ``ROUNDS`` positions of each
-of its documents (others each round, so that the rounds together take every
-position once), and hands on its weights, which are averaged by Spark in fixed
-point, so that the order of tasks doesn't matter.
-The weights have a fixed number; only they and the counts by id come to the driver.
+Tokens are lower-cased words and marks. The ``FREQUENT`` most frequent ones of
+the corpus are leaves of their own, all others share ``TAILS`` leaves by their
+last two letters. The network reads the leaves of the neighbours, each place
+with a table of its own, never the token itself, and predicts the token's
+branch (``LEAVES`` leaves of like frequency) and then the leaf within the
+branch. The chance of a word that shares a leaf is that of the leaf, by the
+network, times the word's share of the leaf by the counts of all words; these
+counts grow with the corpus, are joined, and never come to the driver.
+
+Counts cover all texts. For training, documents are dealt by a hash into
+shards whose number depends on the number of tokens alone; within its shard a
+document's turn depends on its hash. There are ``ROUNDS`` rounds, in which a
+shard starts from the common weights and takes one in ``ROUNDS`` positions of
+each of its documents, others each round, so that every position is trained on
+once. Weights are then averaged by positions, in the order of shards. So the
+result doesn't depend on how the input is partitioned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skiplane.llm import textbytes as tb
 from skiplane.llm.common import Remembered, cut, pick
 
-#: Id 0 stands beyond the ends of a text; then the frequent words; then the hashed rest.
-FREQUENT, HASHED = 255, 256
-SIZE = 1 + FREQUENT + HASHED
+#: Leaf 0 stands beyond the ends of a text; then the frequent words; then the shared leaves. A branch has LEAVES consecutive ones.
+BRANCHES, LEAVES, TAILS = 32, 64, 512
+SIZE = BRANCHES * LEAVES
+FREQUENT = SIZE - 1 - TAILS
 #: Neighbours on each side, width of the hidden layer.
 SIDE, HIDDEN = 2, 24
-ROUNDS, BATCH, RATE = 3, 2048, 0.1
-#: Entries that a task gathers before it hands them on.
+ROUNDS, BATCH, RATE = 3, 4096, 0.1
+#: Tokens of a shard, about, and shards at most (beyond that, shards are larger); shards whose weights one task adds up.
+SHARD_TOKENS, MOST_SHARDS, ADDED = 2_000_000, 4096, 64
+#: Distinct words that a part may list before the next one begins.
 GATHERED = 400_000
-#: Characters of the texts that these entries come from, at most.
-GATHERED_SIZE = 1 << 26
-#: Largest logit, in absolute value, whose exponential needs no shift in 32 bits.
-SAFE = 75.0
 SLICE = 1 << 22
-#: Characters of the documents that share a list of words, at most about (a longer text stands alone).
+#: Characters of the documents that share a list of words, about (a longer text stands alone).
 PART = 1 << 24
-#: Added to the count of a word that shares an id.
+#: Added to the count of a word that shares a leaf, and once a leaf for unseen words.
 UNSEEN = 0.5
-FIXED = float(1 << 24)
 WORD = re.compile(r"\w+|[^\w\s]")
 
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()  # of what stands between blanks
-    size = 0
-
-    def told() -> pa.RecordBatch:
-        words: dict[str, int] = {}
-        for raw, n in held.items():
-            for w in WORD.findall(raw):
-                words[w] = words.get(w, 0) + n
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-    for batch in tb.slices(batches, "text", SLICE):
-        for text in batch.column("text").to_pylist():
-            held.update(text.lower().split())
-            size += len(text)
-            if len(held) > GATHERED or size > GATHERED_SIZE:
-                yield told()
-                size = 0
-    if held:
-        yield told()
-
-
-def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray, DataFrame]:
-    """Ids of the frequent words, how often each id occurs, how many words have it, and the counts of all words (word, n)."""
-    words = cut(docs.where("text IS NOT NULL").select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    shared = words.groupBy((F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
-    counts, kinds = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=np.int64)
-    for r in shared:
-        counts[1 + FREQUENT + r["at"]], kinds[1 + FREQUENT + r["at"]] = r["n"], r["kinds"]
-    ids = {}
-    for i, r in enumerate(top):
-        ids[r["word"]] = 1 + i
-        counts[1 + i], kinds[1 + i] = r["n"], 1
-        at = 1 + FREQUENT + zlib.crc32(r["word"].encode()) % HASHED
-        counts[at] -= r["n"]
-        kinds[at] -= 1
-    return ids, counts, kinds, words
-
-
-NUMBERED = "part bigint, doc_id bigint, ids binary, own binary, words array<string>"
-NAMES = ["part", "doc_id", "ids", "own", "words"]
+TOKENS = "part bigint, doc_id bigint, key bigint, codes binary, words array<string>, counts array<bigint>"
 
 
 def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """The values of each row, one row after the other, as bytes."""
     ends = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def _numbered(ids: dict[str, int]):
-    """Rows of texts: part, doc_id, ids, and own, the places of the words that share an id in the list of the part. One row more a part has that list, and no ids."""
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and how many each row has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), dtype=kind), np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(kind).itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = TaskContext.get().partitionId() << 32, 0
-        places: dict[str, int] = {}
-        shared = array("H")  # the ids of these words
-
-        def codes(raw: str) -> bytes:
-            """Ids and, beyond them, places."""
-            out = []
-            for w in WORD.findall(raw):
-                code = ids.get(w)
-                if code is None:
-                    if w not in places:
-                        places[w] = len(places)
-                        shared.append(1 + FREQUENT + zlib.crc32(w.encode()) % HASHED)
-                    code = SIZE + places[w]
-                out.append(code)
-            return np.array(out, dtype="<u4").tobytes()
-
-        def listed() -> pa.RecordBatch:
-            none = pa.nulls(1, pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.int64()), none, none, pa.array([list(places)], pa.list_(pa.string()))], names=NAMES)
-
-        of = Remembered(codes, GATHERED)
-        for batch in tb.slices(batches, "text", SLICE):
-            texts = batch.column("text").to_pylist()
-            found = [b"".join(map(of.__getitem__, (text or "").lower().split())) for text in texts]
-            sizes = np.array([len(x) // 4 for x in found])
-            code = np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64)
-            own = code >= SIZE
-            number = code.copy()
-            number[own] = np.array(shared, dtype=np.int64)[code[own] - SIZE]
-            n_own = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(sizes)])])
-            columns = [pa.array(np.full(len(texts), part, np.int64)), batch.column("doc_id"), _packed(number.astype("<u2"), sizes), _packed((code[own] - SIZE).astype("<u4"), n_own), pa.nulls(len(texts), pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
-            size += sum(len(text or "") for text in texts)
-            if size >= PART or len(places) >= GATHERED:
-                yield listed()
-                places.clear()
-                of.clear()
-                del shared[:]
-                part, size = part + 1, 0
-        if places:
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts: part, doc_id, key and codes, which are places in the list of the part. One row more a part has that list, with counts."""
+    part, size = TaskContext.get().partitionId() << 32, 0
+    places: dict[str, int] = {}
+    counts = np.zeros(1024, dtype=np.int64)
+    names = ["part", "doc_id", "key", "codes", "words", "counts"]
+
+    def codes(raw: str) -> bytes:
+        return np.array([places.setdefault(w, len(places)) for w in WORD.findall(raw)], dtype="<u4").tobytes()
+
+    def listed() -> pa.RecordBatch:
+        long = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), long, long, pa.nulls(1, pa.binary()), pa.array([list(places)], pa.list_(pa.string())), pa.array([counts[: len(places)]], pa.list_(pa.int64()))], names=names)
+
+    of = Remembered(codes, GATHERED)
+    for batch in tb.slices(batches, "text", SLICE):
+        texts = batch.column("text").to_pylist()
+        found = [b"".join(map(of.__getitem__, (text or "").lower().split())) for text in texts]
+        n = len(texts)
+        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        code = np.frombuffer(b"".join(found), dtype="<u4")
+        if len(places) > len(counts):
+            counts = np.concatenate([counts, np.zeros(max(len(places), 2 * len(counts)) - len(counts), np.int64)])
+        held = np.bincount(code, minlength=1)
+        counts[: len(held)] += held
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), batch.column("doc_id"), batch.column("key"), _packed(code, sizes), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        size += sum(len(text or "") for text in texts)
+        if size >= PART or len(places) >= GATHERED:
             yield listed()
+            places.clear()
+            of.clear()
+            counts[:] = 0
+            part, size = part + 1, 0
+    if places:
+        yield listed()
+
+
+def tail_leaf(word: Column) -> Column:
+    """The leaf that a word shares with others of the same last two characters."""
+    return (F.lit(1 + FREQUENT) + F.crc32(F.substring(word, -2, 2).cast("binary")) % TAILS).cast("int")
+
+
+def tail_leaf_of(word: str) -> int:
+    return 1 + FREQUENT + zlib.crc32(word[-2:].encode()) % TAILS
+
+
+def vocabulary(words: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Counts of words (word, n) to (word, n, leaf), and by leaf the tokens and the words that it has."""
+    spark = words.sparkSession
+    top = [(r["word"], 1 + i) for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect())]
+    own = spark.createDataFrame(top, "word string, own int")  # FREQUENT rows at most
+    leaved = words.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("own", tail_leaf(F.col("word"))).alias("leaf"))
+    tokens, kinds = np.zeros(SIZE, dtype=np.int64), np.zeros(SIZE, dtype=np.int64)
+    for r in leaved.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        tokens[r["leaf"]], kinds[r["leaf"]] = r["n"], r["kinds"]
+    return leaved, tokens, kinds
+
+
+def shares(leaf: np.ndarray, n: np.ndarray, tokens: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Logarithm of each word's share of its leaf; 0 for leaves of one word."""
+    out = np.log(n + UNSEEN) - np.log(tokens[leaf] + UNSEEN * (kinds[leaf] + 1))
+    out[leaf <= FREQUENT] = 0
+    return out
+
+
+def _mapped(held):
+    """Codes of a part's documents, and what its list of words is known to be, to leaves and the sum of the words' shares."""
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        tokens, kinds = held.value
+        leaf_of, share_of = np.zeros(known.num_rows, np.uint16), np.zeros(known.num_rows)
+        place, leaf = known.column("place").to_numpy(), known.column("leaf").to_numpy()
+        leaf_of[place], share_of[place] = leaf, shares(leaf, known.column("n").to_numpy(), tokens, kinds)
+        out = []
+        for batch in tb.slices(iter(docs.combine_chunks().to_batches()), "codes", SLICE):
+            code, sizes = _unpacked(batch.column("codes"), "<u4")
+            sums, ends = np.concatenate([[0], np.cumsum(share_of[code])]), np.cumsum(sizes)
+            out.append(pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), _packed(leaf_of[code], sizes), pa.array(sums[ends] - sums[ends - sizes])], names=["key", "doc_id", "ids", "shared"]))
+        return pa.Table.from_batches(out, schema=pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("shared", pa.float64())]))
 
     return run
 
 
 class Network:
-    """near: a table of vectors for each neighbouring place; bias; out and base: to logits."""
+    """near: a table of vectors for each neighbouring place; bias; top and low: to logits of branches, and of leaves within each branch. Their last rows are added whatever the neighbours."""
 
-    def __init__(self, counts: np.ndarray | None = None, flat: np.ndarray | None = None):
-        shapes = self.shapes = [(2 * SIDE, SIZE, HIDDEN), (HIDDEN,), (HIDDEN, SIZE), (SIZE,)]
+    SHAPES = ((2 * SIDE, SIZE, HIDDEN), (HIDDEN,), (HIDDEN + 1, BRANCHES), (BRANCHES, HIDDEN + 1, LEAVES))
+
+    def __init__(self, tokens: np.ndarray | None = None, flat: np.ndarray | None = None):
         if flat is None:
             rng = np.random.default_rng(17)
-            parts = [rng.normal(0, 0.3, shapes[0]), np.zeros(shapes[1]), rng.normal(0, 0.1, shapes[2]), np.log((counts + 0.5) / (counts.sum() + 0.5 * SIZE))]
+            parts = [rng.normal(0, s, shape) for s, shape in zip((0.3, 0, 0.1, 0.1), self.SHAPES, strict=True)]
+            by_branch = tokens.reshape(BRANCHES, LEAVES) + 0.5
+            parts[2][-1] = np.log(by_branch.sum(axis=1) / by_branch.sum())
+            parts[3][:, -1] = np.log(by_branch / by_branch.sum(axis=1, keepdims=True))
             flat = np.concatenate([p.ravel() for p in parts])
         self.flat = flat.astype(np.float32)
-        self.near, self.bias, self.out, self.base = self.views(self.flat)
-        self.wide = self.widened(self.flat)
+        self.near, self.bias, self.top, self.low = self.views(self.flat)
 
     def views(self, flat: np.ndarray) -> list[np.ndarray]:
         out, at = [], 0
-        for s in self.shapes:
+        for s in self.SHAPES:
             n = int(np.prod(s))
             out.append(flat[at : at + n].reshape(s))
             at += n
         return out
 
-    def widened(self, flat: np.ndarray) -> np.ndarray:
-        """out with base as its last row, which stand side by side."""
-        return flat[-(HIDDEN + 1) * SIZE :].reshape(HIDDEN + 1, SIZE)
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return self.layer(around)[:, :HIDDEN]
-
     def layer(self, around: np.ndarray) -> np.ndarray:
-        """The hidden layer, with a column of ones for base."""
+        """The hidden layer, with a column of ones."""
         total = self.bias + self.near[0].take(around[0], axis=0)
         for k in range(1, 2 * SIDE):
             total += self.near[k].take(around[k], axis=0)
@@ -192,134 +183,150 @@ class Network:
         np.tanh(total, out=out[:, :HIDDEN])
         return out
 
-    def safe(self) -> bool:
-        """Whether no logit can need a shift: the hidden layer is within -1 and 1."""
-        return bool(np.abs(self.wide).sum(axis=0).max() < SAFE)
+    @staticmethod
+    def _softmax(logits: np.ndarray) -> np.ndarray:
+        """Chances, in place."""
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits
+
+    @staticmethod
+    def _log_chance(logits: np.ndarray, of: np.ndarray) -> np.ndarray:
+        logits -= logits.max(axis=1, keepdims=True)
+        picked = logits[np.arange(len(of)), of].astype(np.float64)
+        return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+    @staticmethod
+    def _by_branch(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each branch that occurs, and the places where."""
+        branch = (target // LEAVES).astype(np.uint8)
+        order = np.argsort(branch, kind="stable")
+        edges = np.searchsorted(branch[order], np.arange(BRANCHES + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            yield b, order[edges[b] : edges[b + 1]]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), dtype=np.float64)
-        safe, ones, room = self.safe(), np.ones(SIZE, dtype=np.float32), np.empty((BATCH, SIZE), dtype=np.float32)
-        for i in range(0, len(target), BATCH):
-            part = slice(i, i + BATCH)
-            h = self.layer(around[:, part])
-            logits = np.dot(h, self.wide, out=room[: len(h)])
-            if not safe:
-                logits -= logits.max(axis=1)[:, None]
-            picked = logits[np.arange(len(logits)), target[part]].astype(np.float64)
-            out[part] = picked - np.log(np.exp(logits, out=logits) @ ones)
+        for i in range(0, len(target), 4 * BATCH):
+            h, t = self.layer(around[:, i : i + 4 * BATCH]), target[i : i + 4 * BATCH]
+            one = self._log_chance(h @ self.top, t // LEAVES)
+            for b, at in self._by_branch(t):
+                one[at] += self._log_chance(h[at] @ self.low[b], t[at] % LEAVES)
+            out[i : i + len(t)] = one
         return out
 
-    def learn(self, around: np.ndarray, target: np.ndarray, held: np.ndarray) -> None:
-        """One step of Adagrad on a batch; ``held`` sums squared gradients."""
+    def learn(self, around: np.ndarray, target: np.ndarray, held: list[np.ndarray]) -> None:
+        """One step of Adagrad on a batch; ``held`` sums squared gradients, in the form of ``views``."""
         n = len(target)
         h = self.layer(around)
-        p = h @ self.wide
-        if not self.safe():
-            p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        total = p @ np.ones(SIZE, dtype=np.float32)
-        p[np.arange(n), target] -= total  # slopes of the logits, times n * total
-        share = (1 / total)[:, None]
-        slope = np.zeros_like(self.flat)
-        near, bias, _, _ = self.views(slope)
-        np.dot((h * share).T, p, out=self.widened(slope))
-        self.widened(slope)[:] /= n
-        h = h[:, :HIDDEN]
-        back = (p @ self.out.T) * (share / n) * (1 - h * h)
-        bias += back.sum(axis=0)
+        p = self._softmax(h @ self.top)
+        p[np.arange(n), target // LEAVES] -= 1
+        top, back = (h.T @ p) / n, p @ self.top[:HIDDEN].T
+        for b, at in self._by_branch(target):
+            own = h[at]
+            q = self._softmax(own @ self.low[b])
+            q[np.arange(len(at)), target[at] % LEAVES] -= 1
+            back[at] += q @ self.low[b, :HIDDEN].T
+            self._step(self.low[b], (own.T @ q) / n, held[3][b])
+        back *= (1 - h[:, :HIDDEN] ** 2) / n
+        self._step(self.top, top, held[2])
+        self._step(self.bias, back.sum(axis=0), held[1])
         for k in range(2 * SIDE):
             order = np.argsort(around[k].astype(np.uint16), kind="stable")
             ids = around[k][order]
             starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            near[k][ids[starts]] += np.add.reduceat(back[order], starts)
-        held += slope * slope
-        self.flat -= RATE * slope / np.sqrt(held + 1e-8)
+            some, slope = ids[starts], np.add.reduceat(back[order], starts)
+            squares = held[0][k][some] + slope * slope
+            held[0][k][some] = squares
+            self.near[k][some] -= RATE * slope / np.sqrt(squares + 1e-8)
+
+    @staticmethod
+    def _step(weights: np.ndarray, slope: np.ndarray, squares: np.ndarray) -> None:
+        squares += slope * slope
+        weights -= RATE * slope / np.sqrt(squares + 1e-8)
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all tokens of a batch, those around each, tokens of each text, and the place of each token in its text."""
+    """Leaves of all tokens of a batch, those around each, tokens of each text, and the place of each token in its text."""
     parts = [np.frombuffer(x, dtype="<u2") for x in batch.column("ids").to_pylist()]
-    sizes = np.array([len(p) for p in parts])
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
     gap = np.zeros(SIDE, dtype=np.uint16)
-    padded = np.concatenate([gap, *[y for p in parts for y in (p, gap)]]).astype(np.int64)
+    padded = np.concatenate([gap, *[y for p in parts for y in (p, gap)]])
     at = tb.ranges(SIDE + np.concatenate([[0], np.cumsum(sizes + SIDE)[:-1]]), sizes)
-    around = np.stack([padded[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))]) if len(at) else np.zeros((2 * SIDE, 0), np.int64)
+    around = np.stack([padded[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))]) if len(at) else np.zeros((2 * SIDE, 0), np.uint16)
     return padded[at], around, sizes, tb.ranges(np.zeros(len(sizes), np.int64), sizes)
 
 
-def _trained(held, round_: int, rounds: int = ROUNDS):
+def _trained(held, round_: int, rounds: int):
+    """The rows of one shard, which are a partition, to its weights and the positions that they have learned from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, seen = Network(flat=held.value.copy()), 0
-        squares = np.full_like(network.flat, 1e-6)
-        around, target = np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
+        network, seen = Network(flat=held.value), 0
+        squares = network.views(np.full_like(network.flat, 1e-6))
+        around, target = np.zeros((2 * SIDE, 0), np.uint16), np.zeros(0, np.uint16)
         for batch in tb.slices(batches, "ids", SLICE):
             ids, near, _, place = _windows(batch)
             take = place % rounds == round_
             around, target = np.concatenate([around, near[:, take]], axis=1), np.concatenate([target, ids[take]])
-            while len(target) >= BATCH:
-                network.learn(around[:, :BATCH], target[:BATCH], squares)
-                seen += BATCH
-                around, target = around[:, BATCH:], target[BATCH:]
+            at = 0
+            while len(target) - at >= BATCH:
+                network.learn(around[:, at : at + BATCH], target[at : at + BATCH], squares)
+                at += BATCH
+            seen += at
+            around, target = around[:, at:], target[at:]
         if len(target):
             network.learn(around, target, squares)
             seen += len(target)
         if seen:
-            n = len(network.flat)
-            value = np.rint(network.flat.astype(np.float64) * FIXED).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(value), pa.array(np.ones(n, np.int64))], names=["at", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([network.flat.tobytes()], pa.binary())], names=["shard", "n", "weights"])
 
     return run
 
 
-def train(numbered: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The weights after ``rounds`` rounds of local training and averaging."""
-    spark = numbered.sparkSession
-    network = Network(counts)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights times positions, added up in the order of shards."""
+    total, n, first = None, 0, 0
+    for batch in batches:
+        for shard, seen, weights in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "weights")), strict=True):
+            own = np.frombuffer(weights, dtype=np.float32).astype(np.float64) * seen
+            total, n, first = (own, seen, shard) if total is None else (total + own, n + seen, first)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
+
+def train(shards: DataFrame, n_shards: int, tokens: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """The weights after ``rounds`` rounds of training by shard and averaging. Each partition of ``shards`` is a shard."""
+    spark = shards.sparkSession
+    network = Network(tokens)
+    kind = "shard int, n bigint, weights binary"
     for round_ in range(rounds):
-        told = numbered.mapInArrow(_trained(spark.sparkContext.broadcast(network.flat), round_, rounds), "at int, value bigint, n bigint")
-        mean = told.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("n").alias("n"))
-        rows = mean.select("at", (F.col("value").cast("double") / F.col("n")).alias("value")).toPandas()  # one row a weight
-        if len(rows):
-            flat = np.empty(len(network.flat))
-            flat[rows["at"].to_numpy()] = rows["value"].to_numpy() / FIXED
+        told = shards.select("ids").mapInArrow(_trained(spark.sparkContext.broadcast(network.flat), round_, rounds), kind)
+        groups = told.repartitionById(-(-n_shards // ADDED), F.expr(f"shard div {ADDED}").cast("int")).sortWithinPartitions("shard")
+        sums = sorted(groups.mapInArrow(_added, kind).collect(), key=lambda r: r["shard"])  # MOST_SHARDS / ADDED rows at most
+        if sums:
+            flat = sum(np.frombuffer(r["weights"], dtype=np.float64) for r in sums) / sum(r["n"] for r in sums)
             network = Network(flat=flat)
     return network
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
-
-
-def _wholes(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Of each shared id, the logarithm of what the counts of its words are divided by; 0 for the ids of one word."""
-    out = np.log(counts + UNSEEN * (kinds + 1))
-    out[: 1 + FREQUENT] = 0
-    return out
+SCORES = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
 
 
 def _scored(held):
-    """Scores of the documents of a part, given the counts of the words in its list."""
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        flat, wholes = held.value
-        network = Network(flat=flat.copy())
-        of = np.zeros(words.num_rows)
-        of[words.column("place").to_numpy()] = np.log(words.column("n").to_numpy() + UNSEEN)
-        out = []
-        for batch in tb.slices(iter(docs.to_batches()), "ids", SLICE >> 3):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(flat=held.value)
+        for batch in tb.slices(batches, "ids", SLICE >> 2):
             ids, around, sizes, _ = _windows(batch)
-            one = network.log_probabilities(around, ids) - wholes[ids]
-            one[ids > FREQUENT] += of[np.frombuffer(b"".join(batch.column("own").to_pylist()), dtype="<u4")]
-            sums = np.concatenate([[0], np.cumsum(one)])
-            ends = np.cumsum(sizes)
-            total = sums[ends] - sums[ends - sizes]
+            sums, ends = np.concatenate([[0], np.cumsum(network.log_probabilities(around, ids))]), np.cumsum(sizes)
+            total = sums[ends] - sums[ends - sizes] + batch.column("shared").to_numpy()
             mean = pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0), mask=sizes == 0)
-            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(total), mean], schema=SCORES))
-        return pa.Table.from_batches(out, schema=SCORES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(total), mean], names=SCORES)
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (sum over tokens, each given those around it), mean_log_likelihood.
 
     Null and empty texts, and texts without tokens: 0 tokens, sum 0, mean null.
@@ -327,12 +334,15 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     table: no rows. Only doc_id and text are read; extra columns are ignored.
     """
     spark = docs.sparkSession
-    docs = pick(docs, doc_id="bigint", text="string")
-    ids, counts, kinds, words = vocabulary(docs)
-    numbered = cut(docs.mapInArrow(_numbered(ids), NUMBERED))
-    texts = numbered.where("ids IS NOT NULL").select("part", "doc_id", "ids", "own")
-    network = train(texts.select("ids"), counts)
-    lists = numbered.where("words IS NOT NULL").select("part", F.posexplode("words").alias("place", "word"))
-    known = lists.join(words, "word", "left").select(F.col("part").alias("of"), "place", F.coalesce("n", F.lit(0)).alias("n"))
-    held = spark.sparkContext.broadcast((network.flat, _wholes(counts, kinds)))
-    return texts.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(_scored(held), "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    docs = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    told = cut(docs.mapInArrow(_tokenised, TOKENS))
+    lists = told.where("words IS NOT NULL").select("part", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("part", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    words, tokens, kinds = vocabulary(cut(lists.groupBy("word").agg(F.sum("n").alias("n"))))
+    known = lists.drop("n").join(words, "word").select(F.col("part").alias("of"), "place", "leaf", "n")
+    held = spark.sparkContext.broadcast((tokens, kinds))
+    texts = told.where("codes IS NOT NULL").select("part", "key", "doc_id", "codes")
+    leaves = texts.groupBy("part").cogroup(known.groupBy("of")).applyInArrow(_mapped(held), "key bigint, doc_id bigint, ids binary, shared double")
+    n_shards = min(max(math.ceil(int(tokens.sum()) / shard_tokens), 1), MOST_SHARDS)
+    shards = cut(leaves.repartitionById(n_shards, F.pmod("key", F.lit(n_shards)).cast("int")).sortWithinPartitions("key", "doc_id"))
+    network = train(shards, n_shards, tokens)
+    return shards.mapInArrow(_scored(spark.sparkContext.broadcast(network.flat)), "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
