@@ -50,6 +50,8 @@ SLICE = 1 << 22
 PART = 1 << 24
 #: Added to the count of a word that shares a leaf, and once a leaf for unseen words.
 UNSEEN = 0.5
+#: Largest logit, in absolute value, whose exponential needs no shift in 32 bits.
+SAFE = 75.0
 WORD = re.compile(r"\w+|[^\w\s]")
 
 TOKENS = "part bigint, doc_id bigint, key bigint, codes binary, words array<string>, counts array<bigint>"
@@ -183,19 +185,30 @@ class Network:
         np.tanh(total, out=out[:, :HIDDEN])
         return out
 
-    @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
-        """Chances, in place."""
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
+    def safe(self) -> bool:
+        """Whether no exponential of a logit can overflow: the hidden layer is within -1 and 1."""
+        return bool(max(np.abs(self.top).sum(axis=0).max(), np.abs(self.low).sum(axis=1).max()) < SAFE)
 
     @staticmethod
-    def _log_chance(logits: np.ndarray, of: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
+    def _powers(logits: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials, in place, and their sums by row."""
+        if not safe:
+            logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], dtype=np.float32)
+
+    def _slopes(self, logits: np.ndarray, of: np.ndarray, safe: bool) -> np.ndarray:
+        """Of the loss by logit: chances, less one at ``of``."""
+        p, total = self._powers(logits, safe)
+        p *= (1 / total)[:, None]
+        p[np.arange(len(of)), of] -= 1
+        return p
+
+    def _log_chance(self, logits: np.ndarray, of: np.ndarray, safe: bool) -> np.ndarray:
+        if not safe:
+            logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(of)), of].astype(np.float64)
-        return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+        return picked - np.log(self._powers(logits, True)[1])
 
     @staticmethod
     def _by_branch(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,26 +220,24 @@ class Network:
             yield b, order[edges[b] : edges[b + 1]]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target), dtype=np.float64)
+        out, safe = np.empty(len(target), dtype=np.float64), self.safe()
         for i in range(0, len(target), 4 * BATCH):
             h, t = self.layer(around[:, i : i + 4 * BATCH]), target[i : i + 4 * BATCH]
-            one = self._log_chance(h @ self.top, t // LEAVES)
+            one = self._log_chance(h @ self.top, t // LEAVES, safe)
             for b, at in self._by_branch(t):
-                one[at] += self._log_chance(h[at] @ self.low[b], t[at] % LEAVES)
+                one[at] += self._log_chance(h[at] @ self.low[b], t[at] % LEAVES, safe)
             out[i : i + len(t)] = one
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, held: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch; ``held`` sums squared gradients, in the form of ``views``."""
-        n = len(target)
+        n, safe = len(target), self.safe()
         h = self.layer(around)
-        p = self._softmax(h @ self.top)
-        p[np.arange(n), target // LEAVES] -= 1
+        p = self._slopes(h @ self.top, target // LEAVES, safe)
         top, back = (h.T @ p) / n, p @ self.top[:HIDDEN].T
         for b, at in self._by_branch(target):
             own = h[at]
-            q = self._softmax(own @ self.low[b])
-            q[np.arange(len(at)), target[at] % LEAVES] -= 1
+            q = self._slopes(own @ self.low[b], target[at] % LEAVES, safe)
             back[at] += q @ self.low[b, :HIDDEN].T
             self._step(self.low[b], (own.T @ q) / n, held[3][b])
         back *= (1 - h[:, :HIDDEN] ** 2) / n
