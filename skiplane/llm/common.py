@@ -50,6 +50,45 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Keys whose rows are broadcast by ``join_spread``, at most.
+MOST_HOT = 2000
+
+
+def running(values: Column, start: Column, op: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each element of an array the fold of those before it by an associative ``op`` from its neutral ``start``.
+
+    Blocks are folded first; an element's fold is that of the blocks before its
+    own and of the elements before it in its block. So the work is linear up to
+    ``block`` cubed elements or so.
+    """
+    fold = lambda part: F.aggregate(part, start, op)
+    at = lambda i: F.floor(i / block).cast("int")
+
+    def of(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), at(F.size(held))), lambda b: fold(F.slice(held, b * block + 1, F.lit(block))))
+        before = let(blocks, lambda folds: F.transform(folds, lambda x, i: fold(F.slice(folds, F.lit(1), i))))
+        return let(before, lambda folds: F.transform(held, lambda x, i: op(F.get(folds, at(i)), fold(F.slice(held, at(i) * block + 1, i % block)))))
+
+    return let(values, of)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``weight`` about how many of ``rows`` the key has.
+
+    Keys of more than 1 / ``MOST_HOT`` of all rows, of which there are fewer than
+    ``MOST_HOT``, are broadcast; the other keys are dealt by hash. So no task
+    gets more than its share, and nothing is dropped. Keys are not null.
+    """
+    least = (table.agg(F.sum(weight)).first()[0] or 0) / MOST_HOT
+    hot = table.where(F.col(weight) > least).withColumn("__hot", F.lit(True)).drop(weight)
+    held = rows.join(F.broadcast(hot), on, "left")
+    more = [c for c in table.columns if c not in on and c != weight]
+    names = [*rows.columns, *more]
+    found = held.where("__hot").select(names)
+    rest = held.where("__hot IS NULL").select(*rows.columns).join(table.where(F.col(weight) <= least).drop(weight), on, how).select(names)
+    return found.union(rest)
+
+
 class Remembered(dict):
     """``f`` of strings, kept for up to ``most`` strings of at most ``longest`` characters; longer ones are computed each time."""
 

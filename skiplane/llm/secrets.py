@@ -10,10 +10,12 @@ handful of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skiplane.llm.common import cut, let
+from skiplane.llm.common import cut, join_spread, let, running
 
 #: The patterns, the group that holds the secret, its least length. Order settles ties of start.
 BASE = {
@@ -22,7 +24,8 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 #: What the method adds, if the value belongs to few owners: long runs of letters and digits that have both cases and a digit.
-MORE = {"owned": (r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}", 0, 24)}
+MORE = {"owned": (r"[A-Za-z0-9+/_-]{24,}", 0, 24)}
+MIXED = (r"[0-9]", r"[a-z]", r"[A-Z]")
 #: Owners of a value that still looks live, at most.
 LIVE_OWNERS = 1
 KINDS = (*BASE, *MORE)
@@ -30,27 +33,33 @@ KINDS = (*BASE, *MORE)
 REDACTED = "[REDACTED]"
 
 
+SPANS = "array<struct<start: int, rank: int, end: int, hash: string, lo: int, hi: int>>"
+
+
+#: Characters and bytes are added up as one number, characters times this.
+PAIR = 1 << 32
+
+
+def _size(text: Column) -> Column:
+    return F.length(text).cast("bigint") * PAIR + F.octet_length(text)
+
+
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Structs (start, rank, end, hash) of the leftmost matches that don't overlap and are long enough. Places are those of the whole match, in characters: the pieces between the matches, and the matches, in turn."""
+    """Structs (start, rank, end, hash, lo, hi) of the leftmost matches that don't overlap and are long enough. Places are those of the whole match, start and end in characters, lo and hi in bytes: running sums over the pieces between the matches, and the matches."""
 
     def placed(whole: Column) -> Column:
         def of(pieces: Column) -> Column:
-            def go(state: Column, x: Column) -> Column:
-                start = state["at"] + F.length(x["piece"])
-                end = start + F.length(x["match"])
-                return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
-
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
-            pairs = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-            return F.aggregate(pairs, zero, go, lambda s: s["spans"])
+            steps = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(_size(p).alias("p"), _size(m).alias("m")))
+            sums = running(F.transform(steps, lambda x: x["p"] + x["m"]), F.lit(0).cast("bigint"), lambda a, b: a + b)
+            return F.zip_with(sums, steps, lambda s, x: F.struct((s + x["p"]).alias("from"), (s + x["p"] + x["m"]).alias("to")))
 
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        spans = F.zip_with(let(F.split(text, pattern, -1), of), values, lambda s, v: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), v.alias("value")))
-        long_enough = F.filter(spans, lambda s: F.length(s["value"]) >= least)
-        return F.transform(long_enough, lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(s["value"], 256).alias("hash")))
+        spans = F.zip_with(let(F.split(text, pattern, -1), of), values, lambda s, v: F.struct(s.alias("at"), v.alias("value")))
+        chars, octets = lambda x: F.call_function("div", x, F.lit(PAIR)).cast("int"), lambda x: (x % PAIR).cast("int")
+        fits = lambda v: reduce(lambda a, b: a & b, [F.length(v) >= least, *[v.rlike(p) for p in MIXED if kind in MORE]])
+        return F.transform(F.filter(spans, lambda s: fits(s["value"])), lambda s: F.struct(chars(s["at"]["from"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), chars(s["at"]["to"]).alias("end"), F.sha2(s["value"], 256).alias("hash"), octets(s["at"]["from"]).alias("lo"), octets(s["at"]["to"]).alias("hi")))
 
-    nothing = F.array().cast("array<struct<start: int, rank: int, end: int, hash: string>>")
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(nothing)
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.array().cast(SPANS))
 
 
 def candidates(text: Column) -> Column:
@@ -64,10 +73,11 @@ def _column(docs: DataFrame, name: str) -> Column:
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """Rows (hash, owner, repository) to (hash, owners, repositories); a repository is one of its owner's, null is an owner like any other."""
+    """Rows (hash, owner, repository) to (hash, owners, repositories, copies); a repository is one of its owner's, null is an owner like any other, copies are rows."""
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    each = rows.select("hash", known("owner").alias("owner"), known("repository").alias("repository")).distinct()
-    return each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    each = rows.groupBy("hash", known("owner").alias("owner"), known("repository").alias("repository")).agg(F.count("*").alias("copies"))
+    owned = each.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    return owned.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.sum("copies").alias("copies"))
 
 
 def _key(docs: DataFrame, owner: str, repository: str) -> tuple[Column, Column]:
@@ -81,18 +91,26 @@ def _by_doc(docs: DataFrame, live_owners: int, owner: str, repository: str) -> D
     rows = docs.select(doc.alias("__doc"), mark.alias("__mark"), _column(docs, owner).alias("owner"), _column(docs, repository).alias("repository"), candidates(_column(docs, "text")).alias("found"))
     rows = cut(rows.where(F.size("found") > 0))
     each = rows.select("__doc", "__mark", "owner", "repository", F.explode("found").alias("f"), F.col("f.hash").alias("hash"))
-    secret = F.struct(F.col("f.start").alias("start"), F.col("f.rank").alias("rank"), F.col("f.end").alias("end"), "hash", "owners", "repositories", (F.col("owners") <= live_owners).alias("live"))
-    judged = each.join(ownership(each), "hash").groupBy("__doc", "__mark").agg(F.array_sort(F.collect_set(secret)).alias("all"))
-    base = F.filter("all", lambda s: s["rank"] < len(BASE))
-    fits = F.filter("all", lambda s: (s["rank"] < len(BASE)) | (s["live"] & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    return judged.select("__doc", "__mark", fits.alias("__secrets")).where(F.size("__secrets") > 0)
+    of = lambda c: F.col(f"f.{c}").alias(c)
+    secret = F.struct(of("start"), of("rank"), of("end"), "hash", "owners", "repositories", (F.col("owners") <= live_owners).alias("live"), of("lo"), of("hi"))
+    judged = join_spread(each.select("__doc", "__mark", "hash", "f"), cut(ownership(each)), ["hash"], "copies")
+    judged = judged.groupBy("__doc", "__mark").agg(F.array_sort(F.collect_set(secret)).alias("all"))
+    return judged.select("__doc", "__mark", let(F.col("all"), _fitting).alias("__secrets")).where(F.size("__secrets") > 0)
+
+
+def _fitting(secrets: Column) -> Column:
+    """Of secrets by start, then kind: those of base kinds, and the live ones of others that no base span overlaps."""
+    base, far = lambda s: s["rank"] < len(BASE), F.lit(2**31 - 1)
+    before = running(F.transform(secrets, lambda s: F.when(base(s), s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    after = F.reverse(running(F.reverse(F.transform(secrets, lambda s: F.when(base(s), s["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+    return let(before, lambda b: let(after, lambda a: F.filter(secrets, lambda s, i: base(s) | (s["live"] & (F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"])))))
 
 
 def scan(docs: DataFrame, live_owners: int = LIVE_OWNERS, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, secrets: array of structs (start, rank, end, hash, owners, repositories, live) by start, then kind.
+    """One row per row of ``docs``: doc_id, secrets: array of structs (start, rank, end, hash, owners, repositories, live, lo, hi) by start, then kind.
 
-    rank is the place of the kind in KINDS, places are characters, end is past
-    the last. Candidates of the added kinds are there only if they are live:
+    rank is the place of the kind in KINDS; start and end are characters, lo and
+    hi the same places in bytes, end and hi past the last. Candidates of the added kinds are there only if they are live:
     held by at most ``live_owners`` owners, and outside all base spans.
 
     Null and empty texts: no secrets. Null owner or repository: one like any
@@ -116,16 +134,18 @@ def redact(docs: DataFrame, live_owners: int = LIVE_OWNERS, owner: str = "source
     doc, mark = _key(docs, owner, repository)
     held = docs.join(found, doc.eqNullSafe(found["__doc"]) & (mark == found["__mark"]), "left").drop("__doc", "__mark")
 
-    def cleaned(text: Column) -> Column:
-        def go(state: Column, s: Column) -> Column:
-            fresh = s["start"] >= state["at"]
-            piece = F.when(fresh, F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(REDACTED))).otherwise(F.lit(""))
-            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], piece).alias("text"))
+    def cleaned(raw: Column) -> Column:
+        def of(ends: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                at = F.get(ends, i)
+                return F.when(s["lo"] >= at, F.concat(F.substring(raw, at + 1, s["lo"] - at).cast("string"), F.lit(REDACTED))).otherwise(F.lit(""))
+
+            last = F.array_max(F.transform("__secrets", lambda s: s["hi"]))
+            return F.concat(F.array_join(F.transform("__secrets", piece), ""), F.substring(raw, last + 1, F.octet_length(raw)).cast("string"))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-        return F.aggregate("__secrets", start, go, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+        return let(running(F.transform("__secrets", lambda s: s["hi"]), F.lit(0), lambda a, b: F.greatest(a, b)), of)
 
-    held = held.withColumn("__clean", F.when(F.col("__secrets").isNotNull(), cleaned(F.col("text").cast("string"))))
+    held = held.withColumn("__clean", F.when(F.col("__secrets").isNotNull(), let(F.col("text").cast("string").cast("binary"), cleaned)))
     new = {"text": F.coalesce("__clean", "text")}
     if length in docs.columns:
         new[length] = F.coalesce(F.length("__clean").cast(docs.schema[length].dataType), F.col(f"`{length}`"))

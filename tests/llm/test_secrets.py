@@ -48,3 +48,27 @@ def test_redact(spark):
 def test_digest(spark):
     row = secrets.scan(spark.createDataFrame([(1, "token=abcdef0123456789abcdef0123456789", "s")], "doc_id bigint, text string, source string")).select(secrets.digest(F.col("secrets"), 3).alias("d")).first()
     assert row["d"] == "assign:0:38,hex:6:38" and len(hashlib.sha256(row["d"].encode()).hexdigest()) == 64
+
+
+def test_long_runs_and_many_secrets(spark):
+    many = " ".join(f"token=é abcdef{i:06d} AKIA{'Z' * 16}" if i % 2 else f"token=abcdef{i:06d}" for i in range(50_000))
+    rows = [(1, "x" * 1_000_000, "s"), (2, many, "s"), (3, "password" + " " * 1_000_000, "s"), (4, "aA" * 500_000, "s"), (5, "aA1" * 300_000, "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").cache()
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan(df).collect()}
+    assert [(s["start"], s["rank"], s["end"]) for s in got[2]] == brute(many)
+    assert not got[1] and not got[3] and not got[4] and [(s["start"], s["end"]) for s in got[5]] == [(0, 900_000)]
+    raw = many.encode()
+    assert all(raw[s["lo"] : s["hi"]] == many[s["start"] : s["end"]].encode() for s in got[2][::997])
+    clean, at, out = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}, 0, []
+    for a, _, b in brute(many):
+        if a >= at:
+            out += [many[at:a], secrets.REDACTED]
+        at = max(at, b)
+    assert clean[2] == "".join([*out, many[at:]]) and clean[1] == rows[0][1] and clean[5] == secrets.REDACTED
+
+
+def test_a_value_in_a_third_of_all_texts(spark):
+    shared = "Qw3rTy77UiOp1AsDfGhJ2kLz"
+    rows = [(i, f"token={shared}" if i % 3 == 0 else f"token=own{i:06d}", f"src{i % 7}") for i in range(3000)]
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert len(got) == 3000 and all([(s["owners"], s["live"]) for s in got[i]] == ([(7, False)] if i % 3 == 0 else [(1, True)]) for i in range(3000))
