@@ -104,10 +104,10 @@ def _runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[at], lo[at], np.maximum.reduceat(hi, at) if len(at) else hi
 
 
-RANGE = "kind tinyint, doc bigint, lo int, hi int"
-PIECE = "kind tinyint, bucket bigint, name bigint, doc bigint, lo int, hi int"
-_RANGE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-_PIECE = pa.schema([("kind", pa.int8()), ("bucket", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+RANGE = "kind tinyint, doc bigint, twin bigint, lo int, hi int"
+PIECE = "kind tinyint, bucket bigint, name bigint, doc bigint, twin bigint, lo int, hi int"
+_RANGE = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("twin", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+_PIECE = pa.schema([("kind", pa.int8()), ("bucket", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 #: Kinds of rows: a piece (windows lo to hi - 1), bytes lo to hi - 1 that repeat, a first copy to refine further.
 PIECES, REPEATED, OPEN = 0, 1, 2
 
@@ -124,6 +124,15 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _again(first: np.ndarray, *places: np.ndarray, carried: tuple | None = None) -> np.ndarray:
+    """True where a row isn't the first of its group and stands at another place than that. ``carried`` is the place of the group that goes on at row 0."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+    out = np.zeros(len(first), dtype=bool)
+    for k, p in enumerate(places):
+        out |= p != np.where(head >= 0, p[head], carried[k] if carried else p[0])
+    return out & ~first
+
+
 def _spread(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Any even key for rows that only pass through an exchange."""
     return tb.mix(doc.view(np.uint64) * _U(tb.STEP) + lo.astype(np.uint64)).view(np.int64)
@@ -144,58 +153,59 @@ def _pieces(length: int, q: int):
                 start, row = _windows(texts, length)
             if not len(start):
                 continue
-            doc = batch.column("doc").to_numpy()
+            doc, twin = batch.column("doc").to_numpy(), batch.column("twin").to_numpy()
             grams = _identifiers(texts.data, q)
             place = _elected(grams, length - q + 1)[start]
             at = np.flatnonzero(_firsts(place, row, start - np.arange(len(start))))
             lo, hi, row = start[at], start[np.append(at[1:], len(start)) - 1] + 1, row[at]
             bucket = grams[place[at]]
-            name = tb.span(texts.prefix(tb.byte_values(12)), lo, hi + length - 1) ^ tb.mix((place[at] - lo).astype(np.uint64))
+            name = tb.span(texts.prefix(12), lo, hi + length - 1) ^ tb.mix((place[at] - lo).astype(np.uint64))
             lo, hi = lo - texts.starts[row], hi - texts.starts[row]
-            order = np.lexsort((lo, doc[row], name, bucket))
+            order = np.lexsort((lo, twin[row], doc[row], name, bucket))
             first = _firsts(bucket[order], name[order])
-            kept, gone = np.sort(order[first]), order[~first]
+            again = _again(first, *(x[order] for x in (doc[row], twin[row], lo)))
+            kept, gone = np.sort(order[first]), order[again]
             r, a, b = _runs(row[gone], lo[gone], hi[gone] + length - 1)
             zero = np.zeros(len(r), np.int64)
             yield _rows(
                 _PIECE,
-                (np.full(len(kept), PIECES), bucket[kept].view(np.int64), name[kept].view(np.int64), doc[row[kept]], lo[kept], hi[kept]),
-                (np.full(len(r), REPEATED), _spread(doc[r], a), zero, doc[r], a, b),
+                (np.full(len(kept), PIECES), bucket[kept].view(np.int64), name[kept].view(np.int64), doc[row[kept]], twin[row[kept]], lo[kept], hi[kept]),
+                (np.full(len(r), REPEATED), _spread(doc[r], a), zero, doc[r], twin[r], a, b),
             )
 
     return run
 
 
 def _refined_pieces(length: int):
-    """Rows sorted by kind, bucket, name, doc and lo: pieces with an earlier copy become REPEATED, first copies in buckets of several pieces OPEN."""
+    """Rows sorted by kind, bucket, name, doc, twin and lo: pieces with an earlier copy become REPEATED, first copies in buckets of several pieces OPEN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # bucket and name of the row before
+        last = None  # bucket, name and place of the first copy of the piece before
         wait: list = []  # the first copy of the bucket's first piece, while no second piece has come
         for batch in batches:
             passing = batch.filter(pa.compute.equal(batch.column("kind"), REPEATED))
             batch = batch.filter(pa.compute.equal(batch.column("kind"), PIECES))
-            out = [tuple(passing.column(c).to_numpy() for c in ("kind", "doc", "lo", "hi"))]
+            out = [tuple(passing.column(c).to_numpy() for c in ("kind", "doc", "twin", "lo", "hi"))]
             if batch.num_rows:
-                bucket, name, doc, lo, hi = (batch.column(c).to_numpy() for c in ("bucket", "name", "doc", "lo", "hi"))
+                bucket, name, doc, twin, lo, hi = (batch.column(c).to_numpy() for c in ("bucket", "name", "doc", "twin", "lo", "hi"))
                 new_bucket, new_piece = _firsts(bucket), _firsts(bucket, name)
                 if last is not None:
                     new_bucket[0] = bucket[0] != last[0]
                     new_piece[0] = new_bucket[0] or name[0] != last[1]
-                last = (bucket[-1], name[-1])
-                heads, gone = np.flatnonzero(new_piece), np.flatnonzero(~new_piece)
+                heads, gone = np.flatnonzero(new_piece), np.flatnonzero(_again(new_piece, doc, twin, lo, carried=last and last[2:]))
+                last = (bucket[-1], name[-1], *([doc[heads[-1]], twin[heads[-1]], lo[heads[-1]]] if len(heads) else last[2:]))
                 opens = new_bucket[heads]
                 several = ~opens
                 several[:-1] |= ~opens[1:]
                 open_ = heads[several]
-                waited = np.array(wait if len(heads) and not opens[0] else [], dtype=np.int64).reshape(-1, 3)
+                waited = np.array(wait if len(heads) and not opens[0] else [], dtype=np.int64).reshape(-1, 4)
                 if len(heads):
                     tail = heads[-1]
-                    wait = [[doc[tail], lo[tail], hi[tail]]] if opens[-1] else []
+                    wait = [[doc[tail], twin[tail], lo[tail], hi[tail]]] if opens[-1] else []
                 out += [
-                    (np.full(len(gone), REPEATED), doc[gone], lo[gone], hi[gone] + length - 1),
-                    (np.full(len(open_), OPEN), doc[open_], lo[open_], hi[open_]),
-                    (np.full(len(waited), OPEN), waited[:, 0], waited[:, 1], waited[:, 2]),
+                    (np.full(len(gone), REPEATED), doc[gone], twin[gone], lo[gone], hi[gone] + length - 1),
+                    (np.full(len(open_), OPEN), doc[open_], twin[open_], lo[open_], hi[open_]),
+                    (np.full(len(waited), OPEN), *waited.T),
                 ]
             yield _rows(_RANGE, *out)
 
@@ -236,38 +246,33 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_bytes: bool = True)
     judged on the input.
 
     Null and empty texts: no bytes. Texts shorter than ``length``: all stays.
-    Null doc_id: compared neither way, all stays. Of rows that share a doc_id
-    the least text of ``length`` bytes or more is compared; rows with that text
-    lose what it loses, rows with another one stay as they are. Empty table: no rows. Only doc_id and
-    text are read; extra columns are ignored.
+    Null doc_id: compared neither way, all stays. Rows of one doc_id with
+    different texts are different documents, in the order of a hash of the
+    text; rows that agree in both are one document, and each loses what it
+    loses. Empty table: no rows. Only doc_id and text are read; extra columns
+    are ignored.
     """
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = pick(docs, doc_id="bigint", text="string")
-    texts = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").withColumnRenamed("doc_id", "doc")
-    repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        texts = cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
-    dealt = texts if repeated else docs.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc").repartition(n, "doc")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("twin"), "text")
+    texts = known.where(f"octet_length(text) >= {length}")
+    dealt = known.repartition(n, "doc", "twin")
+    key = ["doc", "twin"]
 
     def refined(source: DataFrame, q: int) -> DataFrame:
-        pieces = source.mapInArrow(_pieces(length, q), PIECE).repartition(n, "bucket").sortWithinPartitions("kind", "bucket", "name", "doc", "lo")
+        pieces = source.mapInArrow(_pieces(length, q), PIECE).repartition(n, "bucket").sortWithinPartitions("kind", "bucket", "name", "doc", "twin", "lo")
         return pieces.mapInArrow(_refined_pieces(length), RANGE)
 
     first, *rest = levels(length)
     found = [cut(refined(texts, first))]
     for q in rest:
-        left = found[-1].where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
-        found.append(refined(dealt.join(left, "doc").select("doc", "text", "open"), q))
-    repeats = [f.where(F.col("kind") == REPEATED).select("doc", "lo", "hi") for f in found]
-    ranges = reduce(DataFrame.union, repeats).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    if repeated:
-        ranges = ranges.join(texts, "doc").select("doc", "ranges", F.col("text").alias("compared"))
-        held = docs.join(ranges, (F.col("doc_id") == F.col("doc")) & (F.col("text") == F.col("compared")), "left").select("doc_id", "text", "ranges")
-    else:
-        # The exchange of the texts by document is the same for all levels, and for the removal.
-        held = dealt.join(ranges, "doc", "left").select(F.col("doc").alias("doc_id"), "text", "ranges")
-        other = docs.where("doc_id IS NULL").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-        held = held.union(other)
+        left = found[-1].where(F.col("kind") == OPEN).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+        found.append(refined(dealt.join(left, key).select("doc", "twin", "text", "open"), q))
+    repeats = [f.where(F.col("kind") == REPEATED).select("doc", "twin", "lo", "hi") for f in found]
+    ranges = reduce(DataFrame.union, repeats).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    # The exchange of the texts by document is the same for all levels, and for the removal.
+    held = dealt.join(ranges, key, "left").select(F.col("doc").alias("doc_id"), "text", "ranges")
+    other = docs.where("doc_id IS NULL").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
     kinds = "doc_id bigint, n_bytes bigint, removed array<struct<lo: bigint, hi: bigint>>, kept_sha256 string" + ", kept binary" * with_bytes
-    return held.mapInArrow(_cleaned(with_bytes), kinds)
+    return held.union(other).mapInArrow(_cleaned(with_bytes), kinds)

@@ -1,8 +1,9 @@
 """Vectorised work on the UTF-8 bytes of an Arrow string column.
 
 Nothing here makes Python strings: a batch of texts is one byte buffer with
-offsets, words are spans of it, and the hash of any span is a difference of
-two prefix sums.
+offsets, and words are spans of it. The hash of a word mixes eight bytes at a
+time; that of any other span is a difference of two prefix sums modulo each of
+two primes.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: The odd multiplier of the prefix sums and of the word windows,
-#: and the constants of the 64-bit finaliser (Stafford's variant 13).
+#: The odd multipliers of byte values and of the word windows, and
+#: the constants of the 64-bit finaliser (Stafford's variant 13).
 BASE = 0x9E3779B97F4A7C15
 STEP = 0xD1342543DE82EF95
 MIX_A = 0xBF58476D1CE4E5B9
@@ -22,6 +23,11 @@ MIX_B = 0x94D049BB133111EB
 
 _U = np.uint64
 
+#: The lowest 0 to 8 bytes of eight.
+KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
@@ -30,12 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def byte_values(seed: int, fold_case: bool = False) -> np.ndarray:
-    """A random-looking odd 64-bit value for each byte; A-Z like a-z on request."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) * _U(BASE) + _U(seed)) | _U(1)
-    if fold_case:
-        table[65:91] = table[97:123]
-    return table
+def byte_values(seed: int) -> np.ndarray:
+    """A random-looking odd 64-bit value for each byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * _U(BASE) + _U(seed)) | _U(1)
 
 
 def byte_class(members: str | bytes) -> np.ndarray:
@@ -50,20 +53,21 @@ BLANK_SEPARATED = ~byte_class(bytes([0x20, *range(0x09, 0x0E)]))
 #: Bytes outside [\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
 ALPHANUMERIC = ~byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
+#: Primes, and the bases of the prefix sums modulo each.
+PRIMES = ((2147483647, 1234567891), (2147483629, 1987654321))
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and doubled as needed."""
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo prime; kept, and doubled as needed."""
     size = max(1024, 1 << (max(n, 1) - 1).bit_length())
-    if (base, size) not in _powers:
-        for key in [k for k in _powers if k[0] == base]:
-            del _powers[key]
+    held = _powers.get((base, prime))
+    if held is None or len(held) < size:
         out = np.ones(1, dtype=np.uint64)
         while len(out) < size:
-            out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
-        _powers[base, size] = out
-    return _powers[base, size][:n]
+            out = np.concatenate([out, out * _U(pow(base, len(out), prime)) % _U(prime)])
+        held = _powers[base, prime] = out
+    return held[:n]
 
 
 class Texts:
@@ -105,17 +109,41 @@ class Texts:
         first = np.flatnonzero(begins)
         return first, np.flatnonzero(ends) + 1, np.searchsorted(first, self.starts)
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums for ``span``: one more than bytes."""
-        out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(values[self.data] * powers(BASE, len(self.data)), out=out[1:])
+    def prefix(self, seed: int) -> list[np.ndarray]:
+        """Prefix sums for ``span``, modulo each prime: one more than bytes."""
+        out = []
+        for k, (prime, base) in enumerate(PRIMES):
+            values = byte_values(seed + k) % _U(prime)
+            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            np.cumsum(values[self.data] * powers(base, prime, len(self.data)) % _U(prime), out=sums[1:])  # below 2**64 for 2**33 bytes
+            out.append(sums % _U(prime))
+        return out
+
+    def word_hashes(self, start: np.ndarray, end: np.ndarray, seed: int, fold_case: bool = False) -> np.ndarray:
+        """Hash of the bytes of each span, eight at a time, each mixed with what came before; A-Z like a-z on request."""
+        data = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        data[:-8] = LOWER[self.data] if fold_case else self.data
+        eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=data, strides=(1,))
+        left, at = end - start, start
+        out = mix(left.astype(np.uint64) + _U(seed))
+        some = np.arange(len(start))
+        while len(some):
+            n = np.minimum(left, 8)
+            chunk = eight[at] & KEPT[n]
+            out[some] = mix(out[some] * _U(STEP) + mix(chunk ^ _U(BASE)))
+            more = left > 8
+            some, at, left = some[more], at[more] + 8, left[more] - 8
         return out
 
 
-def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes, whatever stands before it."""
-    inverse = pow(BASE, -1, 1 << 64)
-    return mix((prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start] + (end - start).astype(np.uint64))
+    out = (end - start).astype(np.uint64)
+    for sums, (prime, base) in zip(prefix, PRIMES, strict=True):
+        p = _U(prime)
+        inverse = powers(pow(base, -1, prime), prime, len(sums))
+        out = mix(out * _U(STEP) + (sums[end] + p - sums[start]) % p * inverse[start] % p)
+    return out
 
 
 def windows(word_hash: np.ndarray, size: int) -> np.ndarray:

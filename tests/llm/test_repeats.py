@@ -51,3 +51,42 @@ def test_edge_cases(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
     none = spark.createDataFrame([(None, text), (1, text)], "doc_id bigint, text string")
     assert sorted((str(r["doc_id"]), len(r["kept"])) for r in repeats.remove_repeats(none).collect()) == [("1", 1), ("None", 130)]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(i // 3, t) for i, t in corpus(9, 60)]
+    rows += [(-5, "q" * 50), (-5, "q" * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    twin = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    once = sorted(set(rows), key=lambda r: (r[0], twin[r[1]]))
+    of = dict(zip(once, brute([(k, t) for k, (_, t) in enumerate(once)], 12), strict=True))
+    want = sorted((r[0], *of[r][1:]) for r in rows)
+    assert digest(repeats.remove_repeats(df, 12)) == want
+    x = "".join(chr(97 + k * k % 26) for k in range(150))
+    got = {(r["doc_id"], r["n_bytes"]): r["n_bytes"] - len(r["kept"]) for r in repeats.remove_repeats(spark.createDataFrame([(1, "p" + x), (2, x + "q"), (2, x + "zz")], "doc_id bigint, text string")).collect()}
+    assert got[2, 151] >= 150 and got[2, 152] >= 150
+
+
+def test_long_texts(spark):
+    line = "the quick brown fox jumps over the lazy dog and then some more words follow here, up to a hundred bytes and beyond it"
+    rows = [(1, line), (2, " ".join(f"{k} {line}" for k in range(9000))), (3, "a" * 1_200_000)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), with_bytes=False).selectExpr("doc_id", "n_bytes", "aggregate(removed, 0L, (n, r) -> n + r.hi - r.lo) AS n_removed").collect()}
+    assert got[1] == (len(line), 0) and got[2][1] >= 9000 * len(line) and got[3] == (1_200_000, 1_199_999)
+
+
+def test_spans_of_like_structure_have_different_hashes():
+    import numpy as np
+    import pyarrow as pa
+
+    from skiplane.llm import textbytes as tb
+
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    texts = tb.Texts(pa.array([morse, other, morse, "Ab", "aB"]))
+    start, end = texts.starts[:-1], texts.starts[1:]
+    spans, words = tb.span(texts.prefix(12), start, end), texts.word_hashes(start, end, 5, fold_case=True)
+    assert spans[0] == spans[2] != spans[1] and spans[3] != spans[4]
+    assert words[0] == words[2] != words[1] and words[3] == words[4]
+    assert len(np.unique(texts.word_hashes(np.zeros(4096, np.int64), np.arange(1, 4097), 5))) == 4096
