@@ -15,6 +15,7 @@ of that bucket, block by block. No partner is left out.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skiplane.llm import textbytes as tb
-from skiplane.llm.common import cut, pick, whole_groups
+from skiplane.llm.common import cut, join_spread, pick, whole_groups
 from skiplane.llm.components import components
 
 #: Nodes of a bucket that one group compares with each other.
@@ -66,7 +67,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 def shingle_sets(texts: tb.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin (one more than texts)."""
     start, end, first = texts.words(tb.BLANK_SEPARATED)
-    word = tb.span(texts.prefix(tb.byte_values(SEED, fold_case=True)), start, end)
+    word = texts.word_hashes(start, end, SEED, fold_case=True)
     n_words = np.diff(first)
     full = tb.windows(word, size)
     counts = np.maximum(n_words - size + 1, 0)
@@ -166,8 +167,14 @@ class _Forest:
         return a != b
 
 
-def linked(values: np.ndarray, bounds: np.ndarray, held: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, least: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the candidate pairs (left, right) that hold on the full sets."""
+def word_set(text: str, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, of words as bytes: what ``shingle_sets`` gives hashes of."""
+    words = text.encode().lower().split()  # bytes know ASCII white space and letters alone
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
+
+
+def linked(values: np.ndarray, bounds: np.ndarray, held: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, least: list[tuple[int, int]], words) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest of the candidate pairs (left, right) that hold on the full sets: first on hashes of shingles, then on ``words(i)``, the shingles of the i-th text."""
     same = np.zeros(len(left), dtype=np.int64)
     done = 0
     for n, fewest in least:
@@ -181,10 +188,15 @@ def linked(values: np.ndarray, bounds: np.ndarray, held: np.ndarray, node: np.nd
     fits = 100 * common >= percent * (n[left] + n[right] - common)
     left, right = left[fits], right[fits]
     forest, u, v = _Forest(node), [], []
-    for a, b in zip(node[left].tolist(), node[right].tolist(), strict=True):
-        if forest.join(a, b):
-            u.append(a)
-            v.append(b)
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = int(node[i]), int(node[j])
+        if forest.root(a) != forest.root(b):
+            one, other = words(i), words(j)
+            both = len(one & other)
+            if 100 * both >= percent * (len(one) + len(other) - both):
+                forest.join(a, b)
+                u.append(a)
+                v.append(b)
     return u, v
 
 
@@ -213,6 +225,7 @@ def _verified(size: int, percent: int, miss: float, n_values: int, batch_size: i
                 filled = np.flatnonzero(np.diff(bounds))
                 held = np.zeros((n_values, part.num_rows), dtype=np.uint32)
                 held[:, filled] = signatures(values, bounds, n_values)
+                text = part.column("text")
                 node, side, comp = (part.column(c).to_numpy() for c in ("node", "side", "component"))
                 for g in range(start, stop):
                     lo, hi = edges[g] - edges[start], edges[g + 1] - edges[start]
@@ -226,7 +239,8 @@ def _verified(size: int, percent: int, miss: float, n_values: int, batch_size: i
                     apart = (node[lo:hi][left] != node[lo:hi][right]) & (comp[lo:hi][left] != comp[lo:hi][right])
                     left, right = left[apart], right[apart]
                     if len(left):
-                        found = linked(values[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], held[:, lo:hi], node[lo:hi], left, right, percent, least)
+                        words = functools.cache(lambda i, lo=lo: word_set(text[lo + i].as_py(), size))
+                        found = linked(values[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], held[:, lo:hi], node[lo:hi], left, right, percent, least, words)
                         u += found[0]
                         v += found[1]
                 start = stop
@@ -255,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     docs = pick(docs, doc_id="bigint", text="string")
     told = cut(docs.mapInArrow(_described(size, rows, bands), "doc_id bigint, set_a bigint, set_b bigint, n_shingles bigint, buckets array<bigint>"))
     sets = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n"))
+    nodes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     places = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     full = places.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
     blocks = full.select("bucket", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -286,14 +300,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
         more = compare(outside.union(inside))
         found = components(links.union(more))
 
-    by_set = sets.select("doc_id", "set_a", "set_b").join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node")
-    label = by_set.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    of_set = nodes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"), "copies")
+    label = join_spread(sets.select("doc_id", "set_a", "set_b"), cut(of_set), ["set_a", "set_b"], "copies").groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = told.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those that have a near-duplicate of smaller doc_id in their group."""
+    """The rows of ``docs``, all columns as they are, without those that have a near-duplicate of smaller doc_id in their group.
+
+    Of rows that agree in doc_id and text one stays; rows of one doc_id with
+    different texts stay or go together. Null doc_id: stays, like null and
+    empty texts, which have no near-duplicates. Empty table: no rows.
+    """
     gone = near_duplicates(docs, percent, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    doc, mark = F.col("doc_id").cast("bigint"), F.xxhash64("text")
+    twice = cut(docs.where("doc_id IS NOT NULL").groupBy(doc.alias("__doc"), mark.alias("__mark")).count().where("count > 1").select("__doc", "__mark"))
+    same = (doc == F.col("__doc")) & (mark == F.col("__mark"))
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
