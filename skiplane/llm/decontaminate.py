@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over every training window.
 
-The benchmark is a stated query set. Its windows are counted first; they are
-broadcast in blocks of at most ``MOST_WINDOWS`` (each window is a fixed number
-of bytes), and the documents are read once a block, so that the size of what
-executors hold doesn't depend on the size of the benchmark.
+The benchmark is a stated query set. The pairs of its windows and items are
+counted first and dealt into blocks of at most about ``MOST_WINDOWS``. There is
+one block at a time on the driver and in the executors: each is a stage of its
+own over the documents, and what it finds is kept in the checkpoint folder
+before the next one is read. So what is held doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from pyspark.sql.types import StructType
 from skiplane.llm import textbytes as tb
 from skiplane.llm.common import cut, pick
 
-#: Windows that one broadcast holds at most: about 100 MB with their words.
+#: Windows, or pairs of window and item, that one broadcast holds, about: 100 MB with their words.
 MOST_WINDOWS = 500_000
 #: Bytes of text handled at a time.
 SLICE = 1 << 21
-_FOLDED = tb.byte_values(21, fold_case=True)
 
 
 def _item_windows(size: int):
@@ -35,9 +35,9 @@ def _item_windows(size: int):
         for batch in tb.slices(batches, "text", SLICE):
             texts = tb.Texts(batch.column("text"))
             start, end, first = texts.words(tb.ALPHANUMERIC)
-            word = tb.span(texts.prefix(_FOLDED), start, end)
+            word = texts.word_hashes(start, end, 21, fold_case=True)
             items = batch.column("item").to_pylist()
-            lower = bytes(texts.data).translate(bytes(_LOWER))
+            lower = bytes(texts.data).translate(bytes(tb.LOWER))
             out: dict[str, list] = {"item": [], "n": [], "hash": [], "words": []}
             for i, item in enumerate(items):
                 a, b = int(first[i]), int(first[i + 1])
@@ -54,10 +54,6 @@ def _item_windows(size: int):
     return run
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 class Windows:
     """A block of the hash set: for each window length the sorted hashes, the words, and the items of each window."""
 
@@ -80,7 +76,7 @@ def _scanned(held, schema: pa.Schema):
         for batch in tb.slices(batches, "__text", SLICE):
             texts = tb.Texts(batch.column("__text"))
             start, end, first = texts.words(tb.ALPHANUMERIC)
-            word = tb.span(texts.prefix(_FOLDED), start, end)
+            word = texts.word_hashes(start, end, 21, fold_case=True)
             owner = np.repeat(np.arange(len(texts)), np.diff(first))
             items: list[set[str | None]] = [set() for _ in range(len(texts))]
             hits: list[tuple[int, int]] = []
@@ -97,7 +93,7 @@ def _scanned(held, schema: pa.Schema):
                 found = np.flatnonzero(keys[at] == seen)
                 found = found[owner[found] == owner[found + n - 1]]
                 for p in found.tolist():  # verified on the words
-                    text = b" ".join(bytes(_LOWER[texts.data[start[j] : end[j]]]) for j in range(p, p + n))
+                    text = b" ".join(bytes(tb.LOWER[texts.data[start[j] : end[j]]]) for j in range(p, p + n))
                     for words, of in groups[at[p]]:
                         if words == text:
                             items[owner[p]].update(of)
@@ -120,17 +116,18 @@ def _scanned(held, schema: pa.Schema):
     return run
 
 
-def _blocks(benchmark: DataFrame, size: int, most: int) -> list[list]:
-    """The distinct windows with their items, in blocks; one at least."""
-    windows = pick(benchmark, item="item_id:string", text="string").mapInArrow(_item_windows(size), "item string, n int, hash bigint, words binary")
+def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[tuple[list, bool]]:
+    """The distinct windows with their items, in blocks, one at least, read one by one; and whether another block follows."""
+    windows = pick(benchmark, item="item_id:string", text="string").mapInArrow(_item_windows(size), "item string, n int, hash bigint, words binary").distinct()
+    n = windows.count()
     items = F.sort_array(F.collect_set("item"))  # without null, which is put back
-    distinct = windows.groupBy("n", "hash", "words").agg(F.when(F.bool_or(F.col("item").isNull()), F.array_append(items, F.lit(None).cast("string"))).otherwise(items).alias("items"))
-    n = distinct.count()
-    if n <= most:
-        return [distinct.collect()]
-    blocks = -(-n * 5 // (4 * most))
-    dealt = cut(distinct.withColumn("block", F.pmod(F.xxhash64("n", "hash", "words"), F.lit(blocks))))
-    return [dealt.where(F.col("block") == k).drop("block").collect() for k in range(blocks)]
+    listed = F.when(F.bool_or(F.col("item").isNull()), F.array_append(items, F.lit(None).cast("string"))).otherwise(items).alias("items")
+    blocks = 1 if n <= most else -(-n * 5 // (4 * most))
+    if blocks > 1:
+        windows = cut(windows.withColumn("block", F.pmod(F.xxhash64("n", "hash", "words", "item"), F.lit(blocks))))
+    for k in range(blocks):
+        own = windows.where(F.col("block") == k) if blocks > 1 else windows
+        yield own.groupBy("n", "hash", "words").agg(listed).collect(), k + 1 < blocks
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_windows: int | None = None) -> DataFrame:
@@ -145,8 +142,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_windows: in
     columns = docs.columns
     out = docs.withColumn("__text", F.col("text").cast("string"))
     target = StructType(out.schema.fields + StructType.fromDDL("__n_words bigint, __hits array<struct<first: bigint, past: bigint>>, __items array<string>").fields)
-    for rows in _blocks(benchmark, size, most_windows or MOST_WINDOWS):
+    for rows, more in _blocks(benchmark, size, most_windows or MOST_WINDOWS):
         out = out.mapInArrow(_scanned(spark.sparkContext.broadcast(Windows(rows)), to_arrow_schema(target)), target)
+        if more:
+            out = cut(out)
     return out.select(*[F.col(f"`{c}`") for c in columns], "__n_words", "__hits", "__items")
 
 
@@ -164,12 +163,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataF
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, all columns as they are."""
+    """The rows of ``docs`` that hold no window of the benchmark, all columns as they are.
+
+    Null and empty texts stay; repeated rows go or stay alike. Empty tables: no
+    rows, or all of them.
+    """
     return scan(docs, benchmark, size).where(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """All rows of ``docs`` with every hit word, and what stands between hit words of one span, taken out of the text."""
+    """All rows of ``docs`` with every hit word, and what stands between hit words of one span, taken out of the text.
+
+    Null and empty texts stay as they are; repeated rows are cut alike. Empty
+    tables: no rows, or nothing cut.
+    """
     found = scan(docs, benchmark, size)
     kind = to_arrow_schema(found.schema)
 
