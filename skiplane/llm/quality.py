@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skiplane.llm.common import cut, let
+from skiplane.llm.common import cut, join_spread, let
 
 #: Bins of one power of two, as bits.
 BITS = 5
@@ -23,7 +23,7 @@ RULES = {"symbols": False, "dup_lines": False, "repeats": False, "word_length":
 LEAST_DOCS = 200
 #: Tukey's fence: so many interquartile ranges beyond the outer quartiles.
 FENCE = 6.0
-#: Room beyond the fence, in thousandths, for metrics that hardly vary.
+#: Room beyond the fence, in thousandths. A metric that is 0 in three documents of four has no spread, and this is all that its fence is.
 SLACK = {"symbols": 50, "dup_lines": 100, "repeats": 150, "word_length": 1500}
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -93,9 +93,10 @@ def bin_floor(index: Column) -> Column:
 
 
 def _metrics(base: Column) -> dict[str, Column]:
+    """In thousandths: symbols a character, repeated lines beyond one a line, words in repeated windows a word, characters a word."""
     words, chars = F.greatest(base["n_words"], F.lit(1)), F.greatest(base["word_chars"], F.lit(1))
     per = lambda a, b: F.call_function("div", a * 1000, b)
-    return {"symbols": per(base["n_symbols"], chars), "dup_lines": per(base["n_dup_lines"], F.greatest(base["n_lines"], F.lit(1))), "repeats": per(base["n_repeat_words"], words), "word_length": per(base["word_chars"], words)}
+    return {"symbols": per(base["n_symbols"], chars), "dup_lines": per(F.greatest(base["n_dup_lines"] - 1, F.lit(0)), F.greatest(base["n_lines"], F.lit(1))), "repeats": per(base["n_repeat_words"], words), "word_length": per(base["word_chars"], words)}
 
 
 def thresholds(rows: DataFrame, least_docs: int, fence: float) -> DataFrame:
@@ -160,7 +161,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 def _judged(rows: DataFrame, least_docs: int, fence: float) -> DataFrame:
     bounds = thresholds(rows.where("NOT base_failed"), least_docs, fence)
-    judged = rows.join(bounds, ["lang", "source"], "left")
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("size"))
+    judged = join_spread(rows, cut(sizes.join(bounds, ["lang", "source"], "left")), ["lang", "source"], "size")
     broken = [F.when((F.col(r) > F.col(f"high_{r}")) | (F.lit(low) & (F.col(r) < F.col(f"low_{r}"))), F.lit(r)) for r, low in RULES.items()]
     judged = judged.withColumn("broken", F.array_compact(F.array(*broken)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
@@ -170,7 +172,8 @@ def drop_low_quality(docs: DataFrame, text: str = "text", lang: str = "lang", so
     """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they are.
 
     Rejected rows are found by doc_id and a hash of text, language and source,
-    on which alone a verdict depends.
+    on which alone a verdict depends. Null and empty texts fail the base rules
+    and go; repeated rows go or stay alike. Empty table: no rows.
     """
     gone = _judged(_measured(docs, text, lang, source), least_docs, fence).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
     same = docs["doc_id"].cast("bigint").eqNullSafe(gone["__gone"]) & (_mark(docs, text, lang, source) == gone["__mark"])
