@@ -51,7 +51,7 @@ def rendezvous(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", n
     size: bytes of the text as UTF-8 plus 16; text_crc32: of the same bytes.
     law is ``key``. grown_shard: where the row goes with one more shard of
     ``next_weight``. slot numbers the rows of a shard from 0 without gaps:
-    shards are dealt into parts by another hash of the key, parts are numbered
+    shards are dealt into parts by another hash of key and text, parts are numbered
     on their own, and the counts of the parts before are added.
 
     Null text: no bytes. Null key: a key like any other. Repeated rows: one
@@ -62,8 +62,8 @@ def rendezvous(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", n
     rows = rows.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_hash(F.col("doc_id")).alias("__hash"))
     rows = rows.select("*", shard_of(F.col("__hash"), weights).cast("int").alias("shard"), shard_of(F.col("__hash"), [*weights, next_weight]).cast("int").alias("grown_shard"))
     rows = cut(rows)
-    parts = max(1, -(-rows.count() // (ROWS_A_TASK * len(weights))), 16)
-    rows = rows.withColumn("part", F.pmod(_mix(F.col("__hash") + 0x5BD1E995), F.lit(parts)).cast("int"))
+    parts = max(-(-rows.count() // ROWS_A_TASK), 16)  # one shard may hold most rows
+    rows = rows.withColumn("part", F.pmod(_mix(F.col("__hash").bitwiseXOR(F.col("text_crc32"))), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     turn = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
