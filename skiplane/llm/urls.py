@@ -2,9 +2,11 @@
 
 A host label is a concatenation of words. A unigram model of the pages' own
 words splits it by Viterbi search, and a multinomial naive Bayes model over
-hashed tokens of host and path scores the url. It is trained on all pages: one
-whose tokens hold a word of the seed list counts as to block, any other as to
-allow, so that what comes with seed words becomes evidence by itself.
+hashed tokens of host and path scores the url. What it learns from is not the
+url but the page: one whose text holds a word of the seed list counts as to
+block, any other as to allow. So a seed word in a url is no verdict by itself,
+and hosts that share words with pages of that kind are blocked without one.
+A page's own url and text are left out of the counts that it is scored by.
 
 The unigram model keeps words of a share of ``LEAST_SHARE`` or more, at most
 1 / LEAST_SHARE of them; the Bayes model has ``FEATURES`` numbers a class.
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from skiplane.llm.common import ascii_lower, cut, pick
 
-#: Words that mark a url to block while the model is trained.
+#: Words that mark a page's text as to block while the model is trained.
 SEEDS = ("adult", "bet", "bets", "casino", "cheap", "crack", "escort", "farm", "gambling", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx")
 LEAST_SHARE = 2e-6
 LONGEST = 24
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 #: Entries that a task remembers or gathers.
 GATHERED = 200_000
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -56,10 +58,13 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
+def text_words(html: str | None) -> list[str]:
+    return WORD.findall(TAG.sub(" ", html).lower()) if html else []
+
+
 def _words_of(rows: Iterator[tuple[str | None, str, str]], add) -> None:
     for html, host, path in rows:
-        if html:
-            add(WORD.findall(TAG.sub(" ", html).lower()))
+        add(text_words(html))
         add(w for label in host.split(".") if "-" in label for w in WORD.findall(label))
         add(WORD.findall(path.lower()))
 
@@ -114,16 +119,23 @@ def feature(token: str) -> int:
     return zlib.crc32(token.encode()) % FEATURES
 
 
-def _classed(held, seeds: frozenset[str]):
+def _sided(seeds: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = [int(not seeds.isdisjoint(text_words(html))) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(side, pa.int8())], names=["page_id", "host", "path", "side"])
+
+    return run
+
+
+def _classed(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(held.value)
         counts, rows = np.zeros((2, FEATURES), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = tokens(host, path, split)
-                side = int(any(t[2:] in seeds for t in found))
+            for host, path, side in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "side")), strict=True):
                 rows[side] += 1
-                for t in found:
+                for t in tokens(host, path, split):
                     counts[side, feature(t)] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[0, at], rows[0])), pa.array(np.append(counts[1, at], rows[1]))], names=["at", "allow", "block"])
@@ -132,24 +144,37 @@ def _classed(held, seeds: frozenset[str]):
 
 
 class Bayes:
-    def __init__(self, allow: np.ndarray, block: np.ndarray, n_allow: int, n_block: int):
-        self.prior = math.log((n_block + 1) / (n_allow + 1))
-        share = lambda x: np.log((x + 1.0) / (x.sum() + (allow + block > 0).sum() + 1))
-        self.weight = share(block) - share(allow)
-        self.weight[allow + block == 0] = 0
-
-    def score(self, found: list[str]) -> float:
-        """Logarithm of the odds that the url is to be blocked."""
-        return self.prior + float(sum(self.weight[feature(t)] for t in found))
+    """Counts of features and of pages by class, allow and block, with one added to each."""
+
+    def __init__(self, counts: np.ndarray, pages: Sequence[int]):
+        self.counts, self.pages = counts.astype(np.int64), pages
+        self.totals = [int(c.sum()) for c in self.counts]
+        self.kinds = int((self.counts.sum(axis=0) > 0).sum())
+
+    def score(self, found: list[str], side: int | None = None) -> float:
+        """Logarithm of the odds that the url is to be blocked. ``side``: the class under which these tokens were counted; they are left out."""
+        own = Counter(map(feature, found))
+        out, whole = [], []
+        for k in range(2):
+            left = k == side
+            out.append(math.log(self.pages[k] - left + 1))
+            whole.append(math.log(self.totals[k] - left * len(found) + self.kinds + 1))
+        odds = out[1] - out[0]
+        for f, n in own.items():
+            allow, block = (int(self.counts[k, f]) - n * (k == side) for k in range(2))
+            if allow + block > 0:  # a token that no other page has tells nothing
+                odds += n * (math.log(block + 1) - whole[1] - math.log(allow + 1) + whole[0])
+        return odds
 
 
 def _scored(lexicon, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, bayes = Splitter(lexicon.value), model.value
         for batch in batches:
-            found = [tokens(h, p, split) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            more = [pa.array(found, pa.list_(pa.string())), pa.array([bayes.score(f) for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "tokens", "block_odds"])
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "side")), strict=True))
+            found = [tokens(h, p, split) for h, p, _ in rows]
+            more = [pa.array(found, pa.list_(pa.string())), pa.array([bayes.score(f, side) for f, (_, _, side) in zip(found, rows, strict=True)], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), *more], names=["page_id", "host", "path", "tokens", "block_odds"])
 
     return run
 
@@ -159,7 +184,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Seque
 
     verdict is that of the longest rule that fits; without one, block if the
     odds are above 1, else allow. Null url, or one without ``://``: empty host
-    and path, judged by the prior alone. Null html: no words. Repeated rows
+    and path, judged by the prior alone. Null html: no words, counts as to allow. Repeated rows
     count and are judged one by one. Empty table: no rows. Only page_id, url
     and html are read; extra columns are ignored.
     """
@@ -171,15 +196,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Seque
     total = words.agg(F.sum("n")).first()[0] or 1
     frequent = words.where((F.col("n") >= LEAST_SHARE * total) & (F.length("word") <= LONGEST)).collect()  # 1 / LEAST_SHARE rows at most
     lexicon = spark.sparkContext.broadcast({s: 1 for s in seeds} | {r["word"]: r["n"] for r in frequent})
-    keys = rows.select("page_id", "host", "path")
-    sides = keys.select("host", "path").mapInArrow(_classed(lexicon, frozenset(seeds)), "at int, allow bigint, block bigint").groupBy("at").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toPandas()  # FEATURES + 1 rows at most
-    counts, n = np.zeros((2, FEATURES)), (0, 0)
+    keys = cut(rows.mapInArrow(_sided(frozenset(seeds)), "page_id bigint, host string, path string, side tinyint"))
+    sides = keys.mapInArrow(_classed(lexicon), "at int, allow bigint, block bigint").groupBy("at").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toPandas()  # FEATURES + 1 rows at most
+    counts, n = np.zeros((2, FEATURES), dtype=np.int64), (0, 0)
     for at, allow, block in sides.itertuples(index=False):
         if at < 0:
             n = (int(allow), int(block))
         else:
             counts[:, at] = allow, block
-    model = spark.sparkContext.broadcast(Bayes(*counts, *n))
+    model = spark.sparkContext.broadcast(Bayes(counts, n))
     scored = keys.mapInArrow(_scored(lexicon, model), "page_id bigint, host string, path string, tokens array<string>, block_odds double")
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(says, F.when(F.col("block_odds") > 0, F.lit("block")).otherwise(F.lit("allow")))
