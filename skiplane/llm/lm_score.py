@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +59,16 @@ TOKENS = "part bigint, doc_id bigint, key bigint, codes binary, words array<stri
 
 
 def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The values of each row, one row after the other, as bytes."""
-    ends = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    """The values of each row, one row after the other, as compressed bytes."""
+    raw, width, squeeze = memoryview(np.ascontiguousarray(values).view(np.uint8)), values.itemsize, zstandard.ZstdCompressor(level=1).compress
+    ends = np.cumsum(sizes) * width
+    return pa.array([squeeze(raw[a:b]) for a, b in zip((ends - sizes * width).tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
 def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of all rows, and how many each row has."""
-    parts = column.to_pylist()
+    open_ = zstandard.ZstdDecompressor().decompress
+    parts = [open_(x) for x in column.to_pylist()]
     return np.frombuffer(b"".join(parts), dtype=kind), np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(kind).itemsize
 
 
@@ -211,38 +214,40 @@ class Network:
         return picked - np.log(self._powers(logits, True)[1])
 
     @staticmethod
-    def _by_branch(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each branch that occurs, and the places where."""
+    def _by_branch(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order by branch, and in it each branch that occurs and where it stands."""
         branch = (target // LEAVES).astype(np.uint8)
         order = np.argsort(branch, kind="stable")
-        edges = np.searchsorted(branch[order], np.arange(BRANCHES + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            yield b, order[edges[b] : edges[b + 1]]
+        edges = np.searchsorted(branch[order], np.arange(BRANCHES + 1)).tolist()
+        return order, [(b, slice(edges[b], edges[b + 1])) for b in range(BRANCHES) if edges[b] < edges[b + 1]]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         out, safe = np.empty(len(target), dtype=np.float64), self.safe()
         for i in range(0, len(target), 4 * BATCH):
-            h, t = self.layer(around[:, i : i + 4 * BATCH]), target[i : i + 4 * BATCH]
-            one = self._log_chance(h @ self.top, t // LEAVES, safe)
-            for b, at in self._by_branch(t):
-                one[at] += self._log_chance(h[at] @ self.low[b], t[at] % LEAVES, safe)
-            out[i : i + len(t)] = one
+            order, runs = self._by_branch(target[i : i + 4 * BATCH])
+            t, h = target[i + order], self.layer(around[:, i + order])
+            one, leaf = self._log_chance(h @ self.top, t // LEAVES, safe), t % LEAVES
+            for b, at in runs:
+                one[at] += self._log_chance(h[at] @ self.low[b], leaf[at], safe)
+            out[i + order] = one
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, held: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch; ``held`` sums squared gradients, in the form of ``views``."""
         n, safe = len(target), self.safe()
-        h = self.layer(around)
+        order, runs = self._by_branch(target)
+        around, target = around[:, order], target[order]
+        h, leaf = self.layer(around), target % LEAVES
         p = self._slopes(h @ self.top, target // LEAVES, safe)
-        top, back = (h.T @ p) / n, p @ self.top[:HIDDEN].T
-        for b, at in self._by_branch(target):
-            own = h[at]
-            q = self._slopes(own @ self.low[b], target[at] % LEAVES, safe)
+        top, low, back = (h.T @ p) / n, np.zeros_like(self.low), p @ self.top[:HIDDEN].T
+        for b, at in runs:
+            q = self._slopes(h[at] @ self.low[b], leaf[at], safe)
             back[at] += q @ self.low[b, :HIDDEN].T
-            self._step(self.low[b], (own.T @ q) / n, held[3][b])
+            np.dot(h[at].T, q, out=low[b])
+        low /= n
         back *= (1 - h[:, :HIDDEN] ** 2) / n
-        self._step(self.top, top, held[2])
-        self._step(self.bias, back.sum(axis=0), held[1])
+        for weights, slope, squares in ((self.low, low, held[3]), (self.top, top, held[2]), (self.bias, back.sum(axis=0), held[1])):
+            self._step(weights, slope, squares)
         for k in range(2 * SIDE):
             order = np.argsort(around[k].astype(np.uint16), kind="stable")
             ids = around[k][order]
@@ -260,13 +265,12 @@ class Network:
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Leaves of all tokens of a batch, those around each, tokens of each text, and the place of each token in its text."""
-    parts = [np.frombuffer(x, dtype="<u2") for x in batch.column("ids").to_pylist()]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    gap = np.zeros(SIDE, dtype=np.uint16)
-    padded = np.concatenate([gap, *[y for p in parts for y in (p, gap)]])
+    ids, sizes = _unpacked(batch.column("ids"), "<u2")
     at = tb.ranges(SIDE + np.concatenate([[0], np.cumsum(sizes + SIDE)[:-1]]), sizes)
+    padded = np.zeros(len(ids) + SIDE * (len(sizes) + 1), dtype=np.uint16)
+    padded[at] = ids
     around = np.stack([padded[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))]) if len(at) else np.zeros((2 * SIDE, 0), np.uint16)
-    return padded[at], around, sizes, tb.ranges(np.zeros(len(sizes), np.int64), sizes)
+    return ids, around, sizes, tb.ranges(np.zeros(len(sizes), np.int64), sizes)
 
 
 def _trained(held, round_: int, rounds: int):
