@@ -40,7 +40,7 @@ BRANCHES, LEAVES, TAILS = 32, 64, 512
 SIZE = BRANCHES * LEAVES
 FREQUENT = SIZE - 1 - TAILS
 #: Neighbours on each side, width of the hidden layer.
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 16
 ROUNDS, BATCH, RATE = 3, 4096, 0.1
 #: Tokens of a shard, about, and shards at most (beyond that, shards are larger); shards whose weights one task adds up.
 SHARD_TOKENS, MOST_SHARDS, ADDED = 2_000_000, 4096, 64
