@@ -66,8 +66,8 @@ def pruning_lag(df: DataFrame, order: str, value: str, threshold: float, chunk_r
 def row_groups(df: DataFrame, column: str) -> DataFrame:
     """(path, row_group, n, least, most, bytes) of the Parquet row groups behind ``df``, read from footers on the executors.
 
-    Footers are read through the local file system; inputs elsewhere need their
-    files where executors can open them.
+    Footers are read by pyarrow, whose file systems are local folders, HDFS and
+    the common object stores; other addresses are an error.
     """
     from collections.abc import Iterator
 
@@ -75,11 +75,13 @@ def row_groups(df: DataFrame, column: str) -> DataFrame:
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for batch in batches:
             out = []
             for path in batch["path"]:
-                meta = pq.ParquetFile(path.removeprefix("file://").removeprefix("file:")).metadata
+                system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                meta = pq.ParquetFile(system.open_input_file(at)).metadata
                 place = meta.schema.to_arrow_schema().names.index(column)
                 for g in range(meta.num_row_groups):
                     c = meta.row_group(g).column(place)

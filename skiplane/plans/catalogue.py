@@ -6,6 +6,8 @@ table, so equal results mean that pruning has lost nothing.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,11 @@ LAYOUTS = {
     "lineitem": Layout.of(l_returnflag=("hash", 4), l_extendedprice=("magnitude", 20), l_linestatus=("hash", 4)),
     "customer": Layout.of(c_mktsegment=("hash", 8), c_acctbal=("magnitude", 16)),
 }
+#: Tables with columns made for pruning by types: name to the raw table, the columns, and the layout.
+MADE = {
+    "orders_typed": ("orders", "o_orderkey, o_totalprice, cast(o_totalprice AS decimal(12,2)) AS price, cast(o_orderdate AS date) AS day, o_orderstatus = 'F' AS filled, cast(o_custkey AS double) AS customer", Layout.of(customer=("hash", 16), day=("hash", 16), price=("magnitude", 20))),
+    "orders_priced": ("orders", "o_orderkey, cast(o_totalprice AS decimal(12,2)) AS price, o_orderstatus = 'F' AS filled", Layout.of(price=("hash", 16), filled=("hash", 2))),
+}
 _engines: dict[tuple[str, str], Engine] = {}
 
 
@@ -31,13 +38,19 @@ def _engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     """Segment tables made once a session from the raw ones."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
-        _engines[key] = Engine(spark, segments.scratch(spark, f"segments-{key[0]}-{abs(hash(sf_dir))}"))
+        _engines[key] = Engine(spark, segments.scratch(spark, f"segments-{key[0]}-{zlib.crc32(sf_dir.encode())}"))
     for n in names:
         if n not in _engines[key].names():
-            _engines[key].load(n, raw(spark, sf_dir, n), LAYOUTS[n])
+            source, columns, layout = MADE.get(n) or (n, "*", LAYOUTS[n])
+            _engines[key].load(n, raw(spark, sf_dir, source).selectExpr(*_split(columns)), layout)
     return _engines[key]
 
 
+def _split(columns: str) -> list[str]:
+    """The items of a select list; commas in brackets don't part."""
+    return [c.strip() for c in re.split(r",(?![^()]*\))", columns)]
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,6 +111,21 @@ _front_door("cte_union", "events", "WITH big AS (SELECT event_id, value FROM eve
 _front_door("distinct_combinations", "events", "SELECT DISTINCT event_type, user_id FROM events WHERE value BETWEEN 128 AND 256")
 _front_door("rollup_totals", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_extendedprice < 16384 GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
+_DAYS = ", ".join(f"DATE '1995-{m:02d}-{d:02d}'" for m in range(1, 7) for d in (3, 17, 28))
+
+
+def _typed(name: str, table: str, where: str, sql_where: str) -> None:
+    _register(name, f"SELECT o_orderkey FROM orders WHERE {sql_where}")(lambda spark, sf: _engine(spark, sf, table).query(f"SELECT o_orderkey FROM {table} WHERE {where}").df)
+
+
+_typed("eq_double_hash", "orders_typed", "customer = 100.0D", "o_custkey = 100")
+_typed("in_dates_hash", "orders_typed", f"day IN ({_DAYS})", f"CAST(o_orderdate AS DATE) IN ({_DAYS})")
+_typed("eq_decimal_magnitude", "orders_typed", "price = (SELECT max(price) FROM orders_typed) OR price BETWEEN 262144.00 AND 262500.25", "CAST(o_totalprice AS DECIMAL(12,2)) = (SELECT max(CAST(o_totalprice AS DECIMAL(12,2))) FROM orders) OR CAST(o_totalprice AS DECIMAL(12,2)) BETWEEN 262144.00 AND 262500.25")
+_PRICES = ", ".join(f"{p}.50" for p in range(100000, 400000, 1300))
+_typed("in_decimals_hash", "orders_priced", f"price BETWEEN 200000 AND 200500 OR price IN ({_PRICES}) OR price = 150000.00", f"CAST(o_totalprice AS DECIMAL(12,2)) BETWEEN 200000 AND 200500 OR CAST(o_totalprice AS DECIMAL(12,2)) IN ({_PRICES}) OR CAST(o_totalprice AS DECIMAL(12,2)) = 150000.00")
+_typed("eq_boolean_hash", "orders_priced", "filled = true AND price >= 400000", "o_orderstatus = 'F' AND o_totalprice >= 400000")
+
+
 #: Bucket rules as DuckDB text.
 def _hb(c: str, n: int) -> str:
     return f"CAST(('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 8))::BIGINT % {n} AS INTEGER)"
@@ -306,7 +334,7 @@ def _(spark, sf):
 
 @_register("csv_load", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
-    path = segments.scratch(spark, f"csv-{spark.sparkContext.applicationId}-{abs(hash(sf))}")
+    path = segments.scratch(spark, f"csv-{spark.sparkContext.applicationId}-{zlib.crc32(sf.encode())}")
     text.write_csv(raw(spark, sf, "events").select("event_id", "event_type"), path, mode="overwrite")
     return text.read_csv(spark, path).groupBy("event_type").agg(F.count("*").alias("n"))
 

@@ -7,6 +7,8 @@ never loses a row; the exact filter always runs on what is read.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,6 +19,11 @@ from skiplane.functions import routing
 from skiplane.operators.layout import BUCKETS, Layout
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: Day 0 of Spark's dates, as Python counts.
+EPOCH = datetime.date(1970, 1, 1).toordinal()
+
+
 @dataclass(frozen=True)
 class Values:
     """One of these values."""
@@ -34,6 +41,30 @@ class Range:
     high_strict: bool = False
 
 
+def numeric(kind: str) -> bool:
+    return kind in INTEGERS or kind in ("float", "double") or kind.startswith("decimal")
+
+
+def narrows(value: Any, dimension: str, kind: str) -> bool:
+    """Whether all rows of a column of type ``kind`` that equal the value have its bucket. Text is hashed as it is, integers, dates and booleans in the one form they have; other types have several, and leave the dimension open."""
+    if dimension == routing.MAGNITUDE:
+        return numeric(kind) and isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool)
+    own = {"string": str, "date": datetime.date, "boolean": bool} | dict.fromkeys(INTEGERS, int)
+    return kind in own and type(value) is own[kind]
+
+
+def _tighter(a: float | None, a_strict: bool, b: float | None, b_strict: bool, pick: Any) -> tuple[float | None, bool]:
+    if a is None or b is None:
+        return (b, b_strict) if a is None else (a, a_strict)
+    return (a, a_strict or b_strict) if a == b else (a, a_strict) if pick(a, b) == a else (b, b_strict)
+
+
+def _both(a: Range, b: Range) -> Range:
+    low, low_strict = _tighter(a.low, a.low_strict, b.low, b.low_strict, max)
+    high, high_strict = _tighter(a.high, a.high_strict, b.high, b.high_strict, min)
+    return Range(low, high, low_strict, high_strict)
+
+
 @dataclass
 class Predicate:
     """Conditions by column; all hold."""
@@ -74,18 +105,34 @@ class Predicate:
                         out = out & ((c < x.high) if x.high_strict else (c <= x.high))
         return out
 
-    def buckets(self, layout: Layout) -> dict[str, list[int] | None]:
-        """Allowed buckets of each bucket column; None: all. A range never narrows a hash dimension."""
+    def values(self, column: str) -> list:
+        """All values that equalities name for a column."""
+        return [v for x in self.of(column) if isinstance(x, Values) for v in x.values]
+
+    def range(self, column: str) -> Range | None:
+        """The narrowest range that all ranges of a column make together."""
+        out = None
+        for x in self.of(column):
+            if isinstance(x, Range):
+                out = x if out is None else _both(out, x)
+        return out
+
+    def buckets(self, layout: Layout, kinds: dict[str, str]) -> dict[str, list[int] | None]:
+        """Allowed buckets of each bucket column; None: all. ``kinds``: types of the table's columns.
+
+        A range never narrows a hash dimension, and values narrow only where
+        they are sure to have the bucket of the rows that equal them (``narrows``).
+        """
         out: dict[str, list[int] | None] = {}
         for name, dim in zip(BUCKETS, layout.dimensions, strict=False):
             allowed: set[int] | None = None
             for x in self.of(dim.name):
                 if isinstance(x, Values):
-                    try:
-                        some = {routing.bucket_of(v, dim.kind, dim.buckets) for v in x.values if v is not None}
-                    except (TypeError, ValueError):
+                    known = [v for v in x.values if v is not None]
+                    if not all(narrows(v, dim.kind, kinds.get(dim.name, "")) for v in known):
                         continue
-                elif dim.kind == routing.MAGNITUDE:
+                    some = {routing.bucket_of(v, dim.kind, dim.buckets) for v in known}
+                elif dim.kind == routing.MAGNITUDE and (numeric(kinds.get(dim.name, "")) or kinds.get(dim.name) == "string"):
                     some = set(routing.range_buckets(x.low, x.high, dim.buckets))
                 else:
                     continue
@@ -94,19 +141,25 @@ class Predicate:
         return out
 
 
-def _literal(e: Any) -> tuple[bool, Any]:
-    if e.getClass().getSimpleName() != "Literal" or e.value() is None:
-        return False, None
-    kind, value = e.dataType().simpleString(), e.value()
-    if kind in ("tinyint", "smallint", "int", "bigint"):
+def _value(kind: str, value: Any) -> tuple[bool, Any]:
+    """What Catalyst holds for a value of a type, as Python's; not known for types that have no single form."""
+    if kind in INTEGERS:
         return True, int(value)
     if kind in ("float", "double"):
         return True, float(value)
     if kind.startswith("decimal"):
-        return True, float(str(value))
+        return True, decimal.Decimal(value.toString() if hasattr(value, "toString") else str(value))
     if kind == "boolean":
         return True, bool(value)
-    return (True, str(value)) if kind == "string" else (False, None)
+    if kind == "date" and 1 <= EPOCH + int(value) <= datetime.date.max.toordinal():
+        return True, datetime.date.fromordinal(EPOCH + int(value))
+    return (True, value if isinstance(value, str) else value.toString()) if kind == "string" else (False, None)
+
+
+def _literal(e: Any) -> tuple[bool, Any]:
+    if e.getClass().getSimpleName() != "Literal" or e.value() is None:
+        return False, None
+    return _value(e.dataType().simpleString(), e.value())
 
 
 def _attribute(e: Any) -> str | None:
@@ -140,7 +193,8 @@ def read_condition(e: Any, out: Predicate) -> None:
             return
         if kind.startswith("Equal"):
             out.eq(name, value)
-        elif not isinstance(value, (str, bool)):
+        elif isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool):
+            value = float(value) if isinstance(value, decimal.Decimal) else value
             end, strict = _RANGES[kind]
             out.where(name, Range(low=value, low_strict=strict) if end == "low" else Range(high=value, high_strict=strict))
     elif kind == "In":
@@ -149,11 +203,12 @@ def read_condition(e: Any, out: Predicate) -> None:
         if name is not None and all(k for k, _ in read):
             out.eq(name, *[v for _, v in read])
     elif kind == "InSet":
-        name, it, values = _attribute(e.child()), e.hset().iterator(), []
+        name, it, type_, read = _attribute(e.child()), e.hset().iterator(), e.child().dataType().simpleString(), []
         while it.hasNext():
-            values.append(it.next())
-        if name is not None and all(isinstance(v, (int, float)) or hasattr(v, "toString") for v in values):
-            out.eq(name, *[v if isinstance(v, (int, float)) else v.toString() for v in values])
+            value = it.next()
+            read.append((True, None) if value is None else _value(type_, value))
+        if name is not None and all(k for k, _ in read):
+            out.eq(name, *[v for _, v in read])
 
 
 def read_plan(plan: Any, paths: dict[str, str]) -> dict[str, Predicate | None]:
@@ -165,7 +220,7 @@ def read_plan(plan: Any, paths: dict[str, str]) -> dict[str, Predicate | None]:
         if node.getClass().getSimpleName() != "LogicalRelation":
             return None
         text = node.relation().location().rootPaths().mkString("\n") if hasattr(node.relation(), "location") else ""
-        return next((name for name, path in paths.items() if text.rstrip("/").endswith(path.rstrip("/").removeprefix("file://"))), None)
+        return next((name for name, path in paths.items() if f"{path.rstrip('/').removeprefix('file://')}/" in f"{text}/"), None)
 
     def walk(node: Any, condition: Any) -> None:
         kind = node.getClass().getSimpleName()

@@ -1,24 +1,35 @@
 """``spark.read.format("segments")``: a Python data source that prunes segments from pushed filters.
 
 The convenience path for plain SQL; ``SegmentTable.read`` stays on the JVM and
-is the fast one. Options: path (a folder that executors can open).
+is the fast one. Options: path (a folder that executors can open). Needs
+``spark.sql.python.filterPushdown.enabled``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from skiplane.operators.layout import BUCKETS, Layout
+from skiplane.operators.layout import Layout
 from skiplane.plans.predicate import Predicate
+from skiplane.sources.segments import State
 
 
-def _open(path: str) -> ds.Dataset:
-    return ds.dataset(f"{path}/data", partitioning=ds.partitioning(pa.schema([("batch", pa.int64()), ("bx", pa.int32()), ("by_", pa.int32())]), flavor="hive"), exclude_invalid_files=True)
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """A local path, or the address of a store that pyarrow knows."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def _state(path: str) -> tuple[Layout, State]:
+    system, at = _system(path)
+    text = lambda p: system.open_input_stream(p).read().decode()
+    names = [i for i in system.get_file_info(fs.FileSelector(f"{at}/_meta/commits", allow_not_found=True)) if i.base_name.isdigit()]
+    return Layout.from_json(text(f"{at}/_meta/layout")), State.merged({int(i.base_name): json.loads(text(i.path)) for i in names})
 
 
 class SegmentSource(DataSource):
@@ -27,10 +38,7 @@ class SegmentSource(DataSource):
         return "segments"
 
     def schema(self):
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        held = _open(self.options["path"]).schema
-        return from_arrow_schema(pa.schema([f for f in held if f.name not in ("batch", *BUCKETS)]))
+        return _state(self.options["path"])[1].schema
 
     def reader(self, schema) -> DataSourceReader:
         return SegmentReader(self.options["path"], schema.fieldNames())
@@ -54,18 +62,20 @@ class SegmentReader(DataSourceReader):
             yield f  # Spark still filters exactly
 
     def partitions(self) -> list[InputPartition]:
-        layout = Layout.from_json(next(Path(self.path, "_meta/layout").glob("part-*")).read_text().strip())
-        allowed = self.predicate.buckets(layout)
-        committed = set(ds.dataset(f"{self.path}/_meta/commits", format="parquet", exclude_invalid_files=True).to_table()["batch"].to_pylist())
+        layout, state = _state(self.path)
+        allowed = list(self.predicate.buckets(layout, {f.name: f.dataType.simpleString() for f in state.schema.fields}).values())
+        kept = {c[:2] for c in state.cells if all(a is None or c[i] in a for i, a in enumerate(allowed))}
+        system, at = _system(self.path)
         out = []
-        for f in _open(self.path).get_fragments():
-            at = ds.get_partition_keys(f.partition_expression)
-            if at["batch"] in committed and all(allowed.get(k) is None or at[k] in allowed[k] for k in ("bx", "by_")):
-                out.append(InputPartition(f.path))
+        for x, y in sorted(kept):
+            for batch in state.places[x, y]:
+                found = system.get_file_info(fs.FileSelector(f"{at}/data/batch={batch}/bx={x}/by_={y}"))
+                out += [InputPartition(i.path) for i in found if i.base_name.endswith(".parquet") and not i.base_name.startswith((".", "_"))]
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is not None:
-            yield from ds.dataset(partition.value, format="parquet").to_batches(columns=self.names)
-
-
+            held = ds.dataset(partition.value, format="parquet", filesystem=_system(self.path)[0])
+            there = [n for n in self.names if n in held.schema.names]
+            for batch in held.to_batches(columns=there):
+                yield pa.RecordBatch.from_arrays([batch.column(n) if n in there else pa.nulls(batch.num_rows) for n in self.names], names=self.names)

@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from skiplane.functions import routing
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A CSV with a header, all text; a row with another number of fields is an error, whatever is selected later."""
-    names = columns or spark.read.option("header", True).csv(path).columns
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True) -> DataFrame:
+    """A CSV, all text, with a header or with the names in ``columns``; a row with another number of fields is an error, whatever is selected later."""
+    names = columns or (spark.read.option("header", True).csv(path).columns if header else None)
+    if names is None:
+        raise ValueError("a CSV without a header needs names of columns")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+    return spark.read.option("columnPruning", False).csv(path, schema=schema, header=header, mode="FAILFAST")
 
 
 def read_log(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -11,16 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from skiplane.operators.layout import Layout
-from skiplane.sources.segments import SegmentTable
-
-#: Numbers of streamed batches start here; loads by hand are below.
-FIRST = 1 << 32
+from skiplane.sources.segments import FIRST_STREAMED, SegmentTable
 
 
 def ingest(stream: DataFrame, table: SegmentTable, layout: Layout, checkpoint: str) -> StreamingQuery:
-    """Loads what is there and ends; call again, with the same checkpoint, for what came since."""
+    """Loads what is there and ends; call again, with the same checkpoint, for what came since. ``SegmentTable.compact`` joins the batches of a long stream."""
 
     def load(df: DataFrame, number: int) -> None:
-        SegmentTable(df.sparkSession, table.path).write(df, layout, batch=FIRST + number)
+        SegmentTable(df.sparkSession, table.path).write(df, layout, batch=FIRST_STREAMED + number)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -117,3 +117,130 @@ def test_text_sources(spark, tmp_path):
 def test_flagship(spark):
     assert catalogue.flagship(spark, "/root/testdata/sf0.001").count() == 23
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+TYPES = {"n": "bigint", "d": "double", "m": "decimal(10,2)", "day": "date", "b": "boolean", "s": "string", "f": "float"}
+
+
+def typed_rows(spark, n=600):
+    rng = random.Random(5)
+    import datetime
+    import decimal
+
+    data = [(i, rng.randrange(40) * 10**rng.randrange(9), rng.choice([10.0**7, 0.1, 1e-5, 64.0, -0.0, 0.0, float("nan")] + [float(k) for k in range(30)]), decimal.Decimal(rng.randrange(5000)) / 4, datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(60)), rng.random() < 0.5, f"v{rng.randrange(50)}", float(rng.randrange(9)) / 2) for i in range(n)]
+    data += [(1000, *[None] * 7)]
+    return spark.createDataFrame(data, "id bigint, " + ", ".join(f"{k} {v}" for k, v in TYPES.items()))
+
+
+def test_pruned_is_plain_for_all_types_and_long_lists(spark, tmp_path):
+    rng, plain = random.Random(7), typed_rows(spark).cache()
+    text_of = {"n": lambda v: f"{v}L", "d": lambda v: f"double('{v!r}')", "m": lambda v: f"cast('{v}' AS decimal(10,2))", "day": lambda v: f"DATE '{v}'", "b": lambda v: str(v).lower(), "s": lambda v: f"'{v}'", "f": lambda v: f"float('{v!r}')"}
+    values = {c: [r[0] for r in plain.select(c).distinct().where(f"{c} IS NOT NULL").collect()] for c in TYPES}
+    plain.createOrReplaceTempView("plain_rows")
+    for c in TYPES:
+        for kind in ("hash", "magnitude") if c in "ndmf" else ("hash",):
+            engine = Engine(spark, str(tmp_path / f"{c}{kind}"))
+            table = engine.load("t", plain, Layout.of(**{c: (kind, 16)}))
+            few, many = rng.sample(values[c], 2), rng.sample(values[c], min(len(values[c]), 14))
+            wheres = [f"{c} = {text_of[c](few[0])}", f"{c} IN ({', '.join(map(text_of[c], many))}, NULL)"]
+            wheres += [f"{c} >= {text_of[c](few[1])} AND {c} <= {text_of[c](max(few))}"] if c != "b" else []
+            for where in wheres:
+                want = sorted(r["id"] for r in spark.sql(f"SELECT id FROM plain_rows WHERE {where}").collect())
+                assert sorted(r["id"] for r in engine.query(f"SELECT id FROM t WHERE {where}").df.collect()) == want, (c, kind, where)
+            for some in (few, many):
+                p = Predicate().eq(c, *some)
+                assert sorted(r["id"] for r in table.read(p).collect()) == sorted(r["id"] for r in plain.where(p.column()).collect()), (c, kind)
+    engine = Engine(spark, str(tmp_path / "dayhash"))
+    assert engine.query("SELECT id FROM t WHERE day = DATE '2024-01-05'").reports["t"].segments_scanned == 1
+    p = Predicate().eq("n", 5.0).eq("s", 3)  # not of the column's type: nothing is narrowed
+    assert set(p.buckets(Layout.of(n=("hash", 4), s=("hash", 4)), TYPES).values()) == {None}
+
+
+def test_views_of_the_session_survive_a_query(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.load("t", rows(spark, 100), LAYOUT)
+    spark.range(7).createOrReplaceTempView("t")
+    assert engine.query("SELECT * FROM t WHERE status = 'OK'").df.count() < 100
+    assert spark.table("t").count() == 7
+    spark.catalog.dropTempView("t")
+    engine.query("SELECT * FROM t WHERE status = 'OK'")
+    assert not spark.catalog.tableExists("t")
+
+
+def test_stream_load_stream_and_compaction(spark, tmp_path):
+    from skiplane.sources.segments import SegmentTable
+
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    stream = lambda: spark.readStream.schema("id bigint, status string, value double, hour int").parquet(source)
+    target = SegmentTable(spark, str(tmp_path / "root/t"))
+    rows(spark, 10).write.parquet(source)
+    ingest(stream(), target, LAYOUT, checkpoint).awaitTermination()
+    done = target.write(rows(spark, 10, 2))
+    assert (done.batch, done.rows, done.buffered_rows) == (1, 10, 0)
+    rows(spark, 10, 3).write.mode("append").parquet(source)
+    ingest(stream(), target, LAYOUT, checkpoint).awaitTermination()
+    assert target.read().count() == 30
+    before = sorted(map(str, target.read().collect()))
+    stats, bits_ = sorted(map(str, target.stats().collect())), sorted(map(str, target.bitsets().collect()))
+    target.compact()
+    again = SegmentTable(spark, target.path)
+    assert sorted(map(str, again.read().collect())) == before and len(again.state().batches) == 1
+    assert sorted(map(str, again.bitsets().collect())) == bits_ and len(again.stats().collect()) == len(stats)
+    target.write(rows(spark, 10), batch=1 << 32)  # a replay of what has been compacted
+    assert again.read().count() == 30
+    ingest(stream(), target, LAYOUT, checkpoint).awaitTermination()
+    assert again.read().count() == 30
+    with pytest.raises(ValueError):
+        target.write(rows(spark, 5).withColumn("hour", F.col("hour").cast("string")))
+    wider = rows(spark, 5).withColumn("extra", F.lit("x"))
+    target.write(wider)
+    assert again.read().where("extra = 'x'").count() == 5 and again.read().count() == 35
+
+
+def test_statistics_merge(spark, tmp_path):
+    table = Engine(spark, str(tmp_path)).load("t", rows(spark, 150), LAYOUT)
+    table.write(rows(spark, 150, 4))
+    want = table.read(with_buckets=True).groupBy("bx", "by_").agg(F.count("value").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max")).collect()
+    got = {(r["bx"], r["by_"]): r for r in table.stats().where("column = 'value'").collect()}
+    same = lambda a, b: a == b or (a != a and b != b) or (a is not None and b is not None and math.isclose(a, b))
+    assert len(got) == len(want) and all(same(got[r["bx"], r["by_"]][c], r[c]) for r in want for c in ("n", "sum", "min", "max"))
+    stats = table.file_stats().first()
+    assert stats["files"] > 0 and stats["data_bytes"] > stats["mean_bytes"] > 0 and stats["metadata_bytes"] > 0
+
+
+def test_bits(spark):
+    from skiplane.functions import bits
+
+    held = b""
+    for at in (0, 9, 23, -1, 10**6):
+        held = bits.with_bit(held, at)
+    assert [at for at in range(-1, 40) if bits.has_bit(held, at)] == [0, 9, 23]
+    assert bits.from_text(bits.to_text(held)) == held and bits.intersect(held, b"\x01") and not bits.intersect(held, b"\x02")
+    got = spark.createDataFrame([(bytearray(held), at) for at in range(-1, 40)], "h binary, at int").select("at", bits.get(F.col("h"), F.col("at")).alias("x")).collect()
+    assert [r["at"] for r in got if r["x"]] == [0, 9, 23]
+    with pytest.raises(ValueError):
+        bits.from_text("not base64!")
+
+
+def test_predicate_accessors():
+    p = Predicate().eq("a", 1, 2).above("b", 3).between("b", 1, 9).below("b", 7)
+    assert p.values("a") == [1, 2] and p.range("b") == Range(3, 7, True, True) and p.range("a") is None
+
+
+def test_csv_without_header_and_union(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,x\n2,y\n")
+    got = text.read_csv(spark, str(tmp_path / "a.csv"), ["n", "s"], header=False)
+    assert sorted(map(tuple, got.collect())) == [("1", "x"), ("2", "y")] and got.select("n").count() == 2
+    with pytest.raises(ValueError):
+        text.read_csv(spark, str(tmp_path / "a.csv"), header=False)
+
+
+def test_data_source(spark, tmp_path):
+    from skiplane.sources.datasource import SegmentSource
+
+    Engine(spark, str(tmp_path)).load("t", rows(spark, 200), LAYOUT)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SegmentSource)
+    df = spark.read.format("segments").option("path", str(tmp_path / "t")).load()
+    for where in ("status = 'OK'", "value >= 100 AND value < 1000", "hour IN (3, 4, 5)"):
+        assert sorted(r["id"] for r in df.where(where).collect()) == sorted(r["id"] for r in rows(spark, 200).where(where).collect())
