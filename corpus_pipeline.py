@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skiplane.llm import decontaminate, near_dedup, packing, quality, secrets
 from skiplane.llm.common import checkpoint_dir
 
-#: SQL can't express the stages after the first; tests hold each against a brute-force version.
+#: SQL can't express the stages after the first; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -36,6 +35,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
@@ -48,14 +49,20 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; what each but the last returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what each but the last returns is written to the shared folder and read again. What a stage has read is removed once its own rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if stage is STAGES[-1][1]:
-            return out
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    *stages, (_, last) = STAGES
+    for name, stage in stages:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    return last(spark, docs, sf_dir)

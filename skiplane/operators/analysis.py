@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,43 @@ def touched(zones: DataFrame, low: float | None = None, high: float | None = Non
     return zones.where(F.col("least") <= high) if high is not None else zones
 
 
+#: Ranges that values are dealt into before ranks are looked up.
+RANGES = 128
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between the two values around a rank; null and NaN don't count. Empty: no numbers.
+
+    Values are counted first. An approximate sketch cuts them into ranges, whose
+    counts tell the ranges that hold the ranks; only these are put in order,
+    each in a task of its own.
+    """
+    counts = df.select(F.col(f"`{value}`").cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    edges = sorted(set(df.select(F.percentile_approx(F.col(f"`{value}`").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("e")).first()["e"] or []))
+    held = counts.withColumn("r", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0))
+    sizes = sorted((r["r"], r["n"]) for r in held.groupBy("r").agg(F.sum("n").alias("n")).collect())  # RANGES rows at most
+    total, before, wanted, starts = sum(n for _, n in sizes), 0, set(), {}
+    if not total:
+        return []
+    places = [s * (total - 1) for s in shares]
+    ranks = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    for r, n in sizes:
+        starts[r] = before
+        if any(before <= k < before + n for k in ranks):
+            wanted.add(r)
+        before += n
+    upto = F.sum("n").over(Window.partitionBy("r").orderBy("v")) + F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("r"))
+    rows = held.where(F.col("r").isin(*wanted)).withColumn("upto", upto)
+    asked = F.filter(F.array(*[F.lit(k).cast("bigint") for k in ranks]), lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
+    at = {r["k"]: r["v"] for r in rows.select("v", F.explode(asked).alias("k")).collect()}
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def equi_depth(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """``df`` with ``depth``: how many of the interpolated quantile cuts are at most the value."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("cuts"))
-    return df.join(F.broadcast(cuts), F.lit(True)).withColumn("depth", F.size(F.filter("cuts", lambda c: c <= F.col(value)))).drop("cuts")
+    cuts = quantiles(df, value, [i / buckets for i in range(1, buckets)])
+    depth = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(f"`{value}`").cast("double"))) if cuts else F.lit(0)
+    return df.withColumn("depth", depth)
 
 
 def skippable(bucket: Column, threshold: float) -> Column:
@@ -39,11 +74,24 @@ def skippable(bucket: Column, threshold: float) -> Column:
     return F.pow(F.lit(2.0), bucket + 1) <= threshold
 
 
+def _summed(df: DataFrame, order: str, columns: list[str], block: int = 4096) -> DataFrame:
+    """``df`` with running sums ``all_…``: within blocks of the order, plus the sums of the blocks before, so that no task sees more than a block or one row a block."""
+    rows = df.withColumn("__block", F.expr(f"`{order}` div {block}"))
+    before = rows.groupBy("__block").agg(*[F.sum(c).alias(c) for c in columns])
+    up = Window.orderBy("__block")
+    before = before.select("__block", *[(F.sum(c).over(up) - F.col(c)).alias(f"__{c}") for c in columns])
+    within = Window.partitionBy("__block").orderBy(order)
+    return rows.join(before, "__block").select(*df.columns, *[(F.sum(c).over(within) + F.col(f"__{c}")).alias(f"all_{c}") for c in columns])
+
+
 def pruning_lag(df: DataFrame, order: str, value: str, threshold: float, chunk_rows: int, compact_every: int) -> DataFrame:
-    """By chunk of arrival, the share of rows so far that ``value >= threshold`` can skip: with a zone map for each chunk, with chunks merged in value order every ``compact_every``, and with magnitude buckets.
+    """By chunk of arrival, the share of rows so far that ``value >= threshold`` can skip.
 
-    Chunks that wait for compaction count with their own zone; merged ones
-    count row by row. There is one row a chunk, so the running sums are small.
+    zone_map: rows of full chunks whose maximum is below, of the rows in full
+    chunks. compacted: rows below that had arrived when chunks were last merged
+    in value order, every ``compact_every`` full ones, of all rows.
+    compacted_and_zones: those, and since then the chunks that a zone map skips.
+    magnitude: rows in magnitude buckets that lie below as a whole, of all rows.
     """
     rows = chunked(df, order, chunk_rows)
     below, v = F.col(value) < threshold, F.col(value)
@@ -51,16 +99,19 @@ def pruning_lag(df: DataFrame, order: str, value: str, threshold: float, chunk_r
         F.count("*").alias("n"),
         F.max(value).alias("most"),
         F.sum(below.cast("bigint")).alias("below"),
-        F.sum(((v < 1) & F.lit(threshold >= 2) | (v >= 1) & skippable(routing.exact_log2(F.greatest(v, F.lit(1.0))), threshold)).cast("bigint")).alias("in_buckets"),
+        F.sum(((v < 1) & F.lit(threshold >= 2) | (v >= 1) & skippable(routing.exact_log2(F.greatest(v, F.lit(1.0))), threshold)).cast("bigint")).alias("skip"),
     )
-    each = each.withColumn("zone", F.when(F.col("most") < threshold, F.col("n")).otherwise(0))
-    upto = Window.orderBy("chunk")
-    merged = F.max(F.when((F.col("chunk") + 1) % compact_every == 0, F.col("all_below"))).over(upto)
-    merged_zone = F.max(F.when((F.col("chunk") + 1) % compact_every == 0, F.col("all_zone"))).over(upto)
-    each = each.withColumns({"all_n": F.sum("n").over(upto), "all_below": F.sum("below").over(upto), "all_zone": F.sum("zone").over(upto), "all_buckets": F.sum("in_buckets").over(upto)})
-    merges = F.coalesce(merged, F.lit(0)) + F.col("all_zone") - F.coalesce(merged_zone, F.lit(0))
-    share = lambda c: F.round(c / F.col("all_n"), 6)
-    return each.select("chunk", share(F.col("all_zone")).alias("zone_map"), share(merges).alias("compacted"), share(F.col("all_buckets")).alias("magnitude"))
+    full = F.col("n") == chunk_rows
+    each = each.withColumns({"closed": F.when(full, F.col("n")).otherwise(0), "zone": F.when(full & (F.col("most") < threshold), F.col("n")).otherwise(0)})
+    each = _summed(each, "chunk", ["n", "below", "skip", "closed", "zone"])
+    # A round begins with the chunk that is merged last; what came in it since then isn't merged.
+    round_ = F.expr(f"(chunk + 1) div {int(compact_every)}")
+    since = Window.partitionBy("round").orderBy("chunk")
+    late = {c: F.sum(F.when(F.col("merges"), 0).otherwise(F.col(c))).over(since) for c in ("below", "zone")}
+    each = each.withColumns({"round": round_, "merges": ((F.col("chunk") + 1) % compact_every == 0) & full}).withColumns({"late_below": late["below"], "late_zone": late["zone"]})
+    merged = F.when(F.col("round") > 0, F.col("all_below") - F.col("late_below")).otherwise(0)
+    share = lambda c, of: F.round(F.try_divide(c, F.col(of)), 6)
+    return each.select("chunk", F.coalesce(share(F.col("all_zone"), "all_closed"), F.lit(0.0)).alias("zone_map"), share(merged, "all_n").alias("compacted"), share(merged + F.col("late_zone"), "all_n").alias("compacted_and_zones"), share(F.col("all_skip"), "all_n").alias("magnitude"))
 
 
 def row_groups(df: DataFrame, column: str) -> DataFrame:

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skiplane.functions import routing
-from skiplane.operators import analysis
+from skiplane.functions import bits, routing
+from skiplane.operators import analysis, layouts
 from skiplane.operators.layout import Layout
 from skiplane.plans.engine import Engine
 from skiplane.plans.predicate import Predicate, Range
@@ -279,7 +279,8 @@ def _(spark, sf):
 
 @_register("quantiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events")
 def _(spark, sf):
-    return raw(spark, sf, "events").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    p50, p90 = analysis.quantiles(raw(spark, sf, "events"), "value", [0.5, 0.9])
+    return spark.createDataFrame([(round(p50, 6), round(p90, 6))], "p50 double, p90 double")
 
 
 _chunks = "(SELECT (rn - 1) // 1000 AS chunk, value FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS rn FROM events))"
@@ -298,13 +299,78 @@ def _(spark, sf):
 
 
 @_register("pruning_lag", f"""WITH c AS (SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS n, max(value) AS most, sum((value < 64)::INT) AS below, sum((CASE WHEN value < 1 THEN true ELSE pow(2.0, {_log2('greatest(value, 1.0)')} + 1) <= 64 END)::INT) AS bk FROM {_chunks} GROUP BY chunk),
-s AS (SELECT chunk, sum(n) OVER w AS n, sum(CASE WHEN most < 64 THEN n ELSE 0 END) OVER w AS z, sum(below) OVER w AS b, sum(bk) OVER w AS m FROM c WINDOW w AS (ORDER BY chunk)),
-t AS (SELECT *, coalesce(max(CASE WHEN (chunk + 1) % 5 = 0 THEN b END) OVER (ORDER BY chunk), 0) AS mb, coalesce(max(CASE WHEN (chunk + 1) % 5 = 0 THEN z END) OVER (ORDER BY chunk), 0) AS mz FROM s)
-SELECT chunk, round(z / n, 6) AS zone_map, round((mb + z - mz) / n, 6) AS compacted, round(m / n, 6) AS magnitude FROM t""")
+s AS (SELECT chunk, n AS own, sum(n) OVER w AS n, sum(CASE WHEN n = 1000 THEN n ELSE 0 END) OVER w AS closed, sum(CASE WHEN n = 1000 AND most < 64 THEN n ELSE 0 END) OVER w AS z, sum(below) OVER w AS b, sum(bk) OVER w AS m FROM c WINDOW w AS (ORDER BY chunk)),
+t AS (SELECT *, coalesce(max(CASE WHEN (chunk + 1) % 5 = 0 AND own = 1000 THEN b END) OVER (ORDER BY chunk), 0) AS mb, coalesce(max(CASE WHEN (chunk + 1) % 5 = 0 AND own = 1000 THEN z END) OVER (ORDER BY chunk), 0) AS mz FROM s)
+SELECT chunk, round(coalesce(z / nullif(closed, 0), 0), 6) AS zone_map, round(mb / n, 6) AS compacted, round((mb + z - mz) / n, 6) AS compacted_and_zones, round(m / n, 6) AS magnitude FROM t""")
 def _(spark, sf):
     return analysis.pruning_lag(_arrived(spark, sf), "arrival", "value", 64.0, 1000, 5)
 
 
+_folders: dict[tuple, str] = {}
+
+
+def _layouts(spark: SparkSession, sf: str) -> str:
+    """The layouts of events.value, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _folders:
+        folder = segments.scratch(spark, f"layouts-{key[0]}-{zlib.crc32(sf.encode())}")
+        for kind in layouts.KINDS:
+            layouts.write(raw(spark, sf, "events"), "value", f"{folder}/{kind}", kind)
+        _folders[key] = folder
+    return _folders[key]
+
+
+_REFINED = f"CASE WHEN value >= 2 THEN 'b' || {_mb('value', 16)} ELSE 's' || CAST(CASE WHEN value <= 0 THEN -17 ELSE greatest(least({_log2('value')}, 0), -17) END AS INTEGER) END"
+
+
+@_register("layout_segments", "SELECT layout, count(DISTINCT seg) AS segments, count(DISTINCT CASE WHEN most >= 100 THEN seg END) AS segments_touched, CAST(sum(k) AS BIGINT) AS rows FROM (SELECT layout, seg, max(value) AS most, count(CASE WHEN value >= 100 THEN 1 END) AS k FROM (" + f"SELECT 'magnitude' AS layout, CAST({_mb('value', 16)} AS VARCHAR) AS seg, value FROM events UNION ALL SELECT 'refined', {_REFINED}, value FROM events UNION ALL SELECT 'equi_depth', CAST(len(list_filter(cuts, lambda x : x <= value)) AS VARCHAR), value FROM events, (SELECT quantile_cont(value, [" + ", ".join(f"{i}/16.0::DOUBLE" for i in range(1, 16)) + "]) AS cuts FROM events)) GROUP BY layout, seg) GROUP BY layout")
+def _(spark, sf):
+    each = [layouts.touched(spark, f"{_layouts(spark, sf)}/{k}", low=100).select(F.lit(k).alias("layout"), "segments", "segments_touched", "rows") for k in ("magnitude", "refined", "equi_depth")]
+    return each[0].union(each[1]).union(each[2])
+
+
+@_register("layout_rows", "SELECT layout, (SELECT count(*) FROM events WHERE value BETWEEN 0.5 AND 100) AS rows, true AS fewer FROM (VALUES ('arrival'), ('sorted'), ('magnitude'), ('refined'), ('equi_depth')) t(layout)")
+def _(spark, sf):
+    out = None
+    for k in layouts.KINDS:
+        one = layouts.touched(spark, f"{_layouts(spark, sf)}/{k}", 0.5, 100).select(F.lit(k).alias("layout"), "rows", (F.col("bytes_touched") <= F.col("bytes")).alias("fewer"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_register("layout_bytes", None)
+def _(spark, sf):
+    out = None
+    for k in layouts.KINDS:
+        one = layouts.touched(spark, f"{_layouts(spark, sf)}/{k}", low=100).select(F.lit(k).alias("layout"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_register("file_counts", "SELECT CAST(count(DISTINCT bx * 100 + by_) AS BIGINT) <= 1000000 AS bounded, true AS has_metadata FROM " + _routed)
+def _(spark, sf):
+    return _events(spark, sf).file_stats().select((F.col("files") <= 1000000).alias("bounded"), (F.col("metadata_bytes") > 0).alias("has_metadata"))
+
+
+@_register("bit_get", f"SELECT bx, by_, CAST(max(CASE WHEN bz = 5 THEN 1 ELSE 0 END) AS BOOLEAN) AS has_5, false AS has_beyond FROM {_routed} GROUP BY bx, by_")
+def _(spark, sf):
+    return _events(spark, sf).bitsets().select("bx", "by_", bits.get(F.col("bits"), F.lit(5)).alias("has_5"), bits.get(F.col("bits"), F.lit(10**6)).alias("has_beyond"))
+
+
+@_register("predicate_range", "SELECT count(*) AS n FROM events WHERE value >= 64 AND value < 128")
+def _(spark, sf):
+    p = P().between("value", 10, 500).between("value", 64).below("value", 128)
+    r = p.range("value")
+    return _events(spark, sf).read(P().where("value", r)).agg(F.count("*").alias("n"))
+
+
+@_register("headerless_csv", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def _(spark, sf):
+    path = segments.scratch(spark, f"bare-{spark.sparkContext.applicationId}-{zlib.crc32(sf.encode())}")
+    raw(spark, sf, "events").select("event_id", "event_type").write.mode("overwrite").csv(path, header=False)
+    return text.read_csv(spark, path, ["event_id", "event_type"], header=False).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("event_id").cast("bigint")).alias("ids"))
+
+
 @_register("scale_tile", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, range(3) GROUP BY event_type")
 def _(spark, sf):
     return analysis.tiled(raw(spark, sf, "events"), 3).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))

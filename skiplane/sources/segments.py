@@ -160,6 +160,7 @@ class SegmentTable:
         self._version: dict | None = None
         self._commits: dict[int, dict] = {}
         self._merged: State | None = None
+        self.last_write: WriterStats | None = None
 
     @property
     def data_path(self) -> str:
@@ -215,7 +216,8 @@ class SegmentTable:
         routed.hint("rebalance", "bx", "by_").write.options(maxRecordsPerFile=str(FILE_ROWS)).mode("append").partitionBy("batch", "bx", "by_").parquet(self.data_path)
         cells, stats = self._described(df.schema, batch)
         self._folder.write(f"_meta/commits/{batch}", json.dumps({"schema": json.loads(df.schema.json()), "cells": cells, "stats": stats, "replaces": replaces or []}))
-        return WriterStats(batch, sum(c[3] for c in cells), len({(c[0], c[1]) for c in cells}))
+        self.last_write = WriterStats(batch, sum(c[3] for c in cells), len({(c[0], c[1]) for c in cells}))
+        return self.last_write
 
     def _described(self, schema: T.StructType, batch: int) -> tuple[list, list]:
         """Counts of combinations and statistics of segments of a batch that has been written, in one pass; as many rows come back as the layout has combinations, at most."""

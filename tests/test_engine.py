@@ -244,3 +244,55 @@ def test_data_source(spark, tmp_path):
     df = spark.read.format("segments").option("path", str(tmp_path / "t")).load()
     for where in ("status = 'OK'", "value >= 100 AND value < 1000", "hour IN (3, 4, 5)"):
         assert sorted(r["id"] for r in df.where(where).collect()) == sorted(r["id"] for r in rows(spark, 200).where(where).collect())
+
+
+def test_quantiles_and_layouts(spark, tmp_path):
+    import numpy as np
+
+    from skiplane.operators import analysis, layouts
+
+    rng = np.random.default_rng(1)
+    for values in (rng.lognormal(0, 3, 5000).tolist(), [3.0] * 900 + [1.0, 9.0], [7.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        shares = [0, 0.01, 0.25, 0.5, 0.9, 1]
+        assert np.allclose(analysis.quantiles(df, "v", shares), np.quantile(values, shares))
+    assert analysis.quantiles(df.limit(0), "v", [0.5]) == []
+    df = spark.createDataFrame([(float(v),) for v in rng.uniform(0.001, 1, 30000)] + [(float(v),) for v in rng.uniform(1, 5000, 300)], "q double")
+    got = {r["layout"]: r for r in layouts.compared(spark, df, "q", str(tmp_path), low=0.5).collect()}
+    want = df.where("q >= 0.5").count()
+    assert set(got) == set(layouts.KINDS) and all(r["rows"] == want for r in got.values())
+    assert got["refined"]["bytes_touched"] < got["magnitude"]["bytes_touched"] and got["refined"]["segments"] > got["magnitude"]["segments"]
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from skiplane.server import serve
+
+    server = serve(Engine(spark, str(tmp_path)), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(method, path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", method=method, data=None if body is None else body if isinstance(body, bytes) else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(request, timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("GET", "/health") == (200, {"status": "ok", "tables": 0})
+        data = "category,value,region\nA,150,x\nA,900,y\nB,450,x\nB,80,z\nC,120,x\nA,5,x\n"
+        status, said = ask("POST", "/load", {"table": "t", "data": data, "dimensions": ["category", "value", "region"], "numeric_dimensions": ["value"], "bucket_counts": [4, 16, 8]})
+        assert (status, said["rows_loaded"]) == (200, 6)
+        status, said = ask("POST", "/query", {"sql": "SELECT * FROM t WHERE value BETWEEN 100 AND 500"})
+        assert status == 200 and said["columns"] == ["category", "region", "value"] and said["row_count"] == 3 and 0 < said["segments_scanned"] < said["segments_total"] and said["elapsed_ms"] > 0
+        assert ask("POST", "/load", {"table": "t", "data": "category,value,region\nC,7,x\n"})[1]["rows_loaded"] == 1
+        assert ask("GET", "/tables")[1][0]["rows"] == 7
+        assert [ask("POST", "/query", {"sql": s})[0] for s in ("SELEC", "SELECT nothing FROM t", "SELECT * FROM other")] == [400, 400, 404]
+        assert ask("POST", "/load", {"table": "u", "data": "a,b\n1\n"})[0] == 400 and ask("POST", "/query", b"{")[0] == 400 and ask("GET", "/nowhere")[0] == 404
+    finally:
+        server.shutdown()
