@@ -38,6 +38,8 @@ from skiplane.llm.common import cut, pick
 
 #: Bytes of text handled at a time.
 SLICE = 1 << 21
+#: Repeated doc_ids that are broadcast, at most; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 _U = np.uint64
 
 
@@ -67,6 +69,16 @@ def _identifiers(data: np.ndarray, q: int) -> np.ndarray:
     return ids if size == q else _refine(ids, q - size)
 
 
+def _whole(grams: np.ndarray, q: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Identifiers of strings of at least q bytes, each made of those of its q-grams at every q-th offset and at its end."""
+    out, at, some = tb.mix((hi - lo).astype(np.uint64)), lo, np.arange(len(lo))
+    while len(some):
+        out[some] = tb.mix(out[some] * _U(tb.STEP) + grams[np.minimum(at, hi[some] - q)])
+        more = at + q < hi[some]
+        some, at = some[more], at[more] + q
+    return out
+
+
 def _elected(grams: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` identifiers the place of the least one, the leftmost of equals."""
     n = len(grams) - width + 1
@@ -159,7 +171,7 @@ def _pieces(length: int, q: int):
             at = np.flatnonzero(_firsts(place, row, start - np.arange(len(start))))
             lo, hi, row = start[at], start[np.append(at[1:], len(start)) - 1] + 1, row[at]
             bucket = grams[place[at]]
-            name = tb.span(texts.prefix(12), lo, hi + length - 1) ^ tb.mix((place[at] - lo).astype(np.uint64))
+            name = _whole(grams, q, lo, hi + length - 1) ^ tb.mix((place[at] - lo).astype(np.uint64))
             lo, hi = lo - texts.starts[row], hi - texts.starts[row]
             order = np.lexsort((lo, twin[row], doc[row], name, bucket))
             first = _firsts(bucket[order], name[order])
@@ -255,7 +267,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_bytes: bool = True)
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = pick(docs, doc_id="bigint", text="string")
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("twin"), "text")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    again = cut(known.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("again")))
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    # 0 where the doc_id alone tells a document
+    known = known.join(again, "doc", "left").select("doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("twin"), "text")
     texts = known.where(f"octet_length(text) >= {length}")
     dealt = known.repartition(n, "doc", "twin")
     key = ["doc", "twin"]

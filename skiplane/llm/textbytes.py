@@ -2,8 +2,7 @@
 
 Nothing here makes Python strings: a batch of texts is one byte buffer with
 offsets, and words are spans of it. The hash of a word mixes eight bytes at a
-time; that of any other span is a difference of two prefix sums modulo each of
-two primes.
+time with what came before.
 """
 
 from __future__ import annotations
@@ -53,23 +52,6 @@ BLANK_SEPARATED = ~byte_class(bytes([0x20, *range(0x09, 0x0E)]))
 #: Bytes outside [\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
 ALPHANUMERIC = ~byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
-#: Primes, and the bases of the prefix sums modulo each.
-PRIMES = ((2147483647, 1234567891), (2147483629, 1987654321))
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
-def powers(base: int, prime: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo prime; kept, and doubled as needed."""
-    size = max(1024, 1 << (max(n, 1) - 1).bit_length())
-    held = _powers.get((base, prime))
-    if held is None or len(held) < size:
-        out = np.ones(1, dtype=np.uint64)
-        while len(out) < size:
-            out = np.concatenate([out, out * _U(pow(base, len(out), prime)) % _U(prime)])
-        held = _powers[base, prime] = out
-    return held[:n]
-
-
 class Texts:
     """Bytes of a batch of texts: ``data`` and ``starts`` (one more than texts). Null counts as empty."""
 
@@ -109,16 +91,6 @@ class Texts:
         first = np.flatnonzero(begins)
         return first, np.flatnonzero(ends) + 1, np.searchsorted(first, self.starts)
 
-    def prefix(self, seed: int) -> list[np.ndarray]:
-        """Prefix sums for ``span``, modulo each prime: one more than bytes."""
-        out = []
-        for k, (prime, base) in enumerate(PRIMES):
-            values = byte_values(seed + k) % _U(prime)
-            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum(values[self.data] * powers(base, prime, len(self.data)) % _U(prime), out=sums[1:])  # below 2**64 for 2**33 bytes
-            out.append(sums % _U(prime))
-        return out
-
     def word_hashes(self, start: np.ndarray, end: np.ndarray, seed: int, fold_case: bool = False) -> np.ndarray:
         """Hash of the bytes of each span, eight at a time, each mixed with what came before; A-Z like a-z on request."""
         data = np.zeros(len(self.data) + 8, dtype=np.uint8)
@@ -136,16 +108,6 @@ class Texts:
         return out
 
 
-def span(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span of bytes, whatever stands before it."""
-    out = (end - start).astype(np.uint64)
-    for sums, (prime, base) in zip(prefix, PRIMES, strict=True):
-        p = _U(prime)
-        inverse = powers(pow(base, -1, prime), prime, len(sums))
-        out = mix(out * _U(STEP) + (sums[end] + p - sums[start]) % p * inverse[start] % p)
-    return out
-
-
 def windows(word_hash: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` consecutive words, by the place of its first word; shorter by size - 1."""
     n = len(word_hash) - size + 1

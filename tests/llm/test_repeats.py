@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from skiplane.llm import repeats
 
 
@@ -53,7 +55,9 @@ def test_edge_cases(spark):
     assert sorted((str(r["doc_id"]), len(r["kept"])) for r in repeats.remove_repeats(none).collect()) == [("1", 1), ("None", 130)]
 
 
-def test_rows_of_one_id_are_documents_of_their_own(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rows_of_one_id_are_documents_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_BROADCAST", most)
     rows = [(i // 3, t) for i, t in corpus(9, 60)]
     rows += [(-5, "q" * 50), (-5, "q" * 50)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -86,7 +90,9 @@ def test_spans_of_like_structure_have_different_hashes():
     other = morse.translate(str.maketrans("ab", "ba"))
     texts = tb.Texts(pa.array([morse, other, morse, "Ab", "aB"]))
     start, end = texts.starts[:-1], texts.starts[1:]
-    spans, words = tb.span(texts.prefix(12), start, end), texts.word_hashes(start, end, 5, fold_case=True)
-    assert spans[0] == spans[2] != spans[1] and spans[3] != spans[4]
+    words = texts.word_hashes(start, end, 5, fold_case=True)
+    for q in (1, 32, 100):
+        wholes = repeats._whole(repeats._identifiers(texts.data, q), q, start[:3], end[:3])
+        assert wholes[0] == wholes[2] != wholes[1]
     assert words[0] == words[2] != words[1] and words[3] == words[4]
     assert len(np.unique(texts.word_hashes(np.zeros(4096, np.int64), np.arange(1, 4097), 5))) == 4096
