@@ -38,6 +38,8 @@ from skiplane.llm.common import cut, pick
 
 #: Bytes of text handled at a time.
 SLICE = 1 << 21
+#: Bytes whose windows elect at a time.
+PART = 1 << 15
 #: Repeated doc_ids that are broadcast, at most; more are joined by shuffle.
 MOST_BROADCAST = 100_000
 _U = np.uint64
@@ -62,8 +64,12 @@ def levels(length: int) -> list[int]:
 
 
 def _identifiers(data: np.ndarray, q: int) -> np.ndarray:
-    """Identifiers of the q-grams, by start."""
-    ids, size = tb.byte_values(11)[data], 1
+    """Identifiers of the q-grams, by start; refined from those of single bytes, or of eight where q is that long."""
+    if q >= 8 and len(data) >= 8:
+        held = np.ascontiguousarray(data)
+        ids, size = tb.mix(np.ndarray(len(held) - 7, dtype="<u8", buffer=held, strides=(1,)) ^ _U(tb.BASE)), 8
+    else:
+        ids, size = tb.byte_values(11)[data], 1
     while 2 * size <= q:
         ids, size = _refine(ids, size), 2 * size
     return ids if size == q else _refine(ids, q - size)
@@ -84,7 +90,7 @@ def _elected(grams: np.ndarray, width: int) -> np.ndarray:
     n = len(grams) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    least, place, span = grams.copy(), np.arange(len(grams)), 1
+    least, place, span = grams, np.arange(len(grams), dtype=np.int32), 1
 
     def fold(v: np.ndarray, p: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
         m = len(v) - by
@@ -99,6 +105,17 @@ def _elected(grams: np.ndarray, width: int) -> np.ndarray:
     return place[:n]
 
 
+def _named(data: np.ndarray, q: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of all q-grams, and for each window of ``length`` bytes the place of its elected one; made in parts that fit a cache."""
+    grams, place = np.zeros(max(len(data) - q + 1, 0), np.uint64), np.zeros(max(len(data) - length + 1, 0), np.int64)
+    for at in range(0, max(len(place), 1), PART):
+        own = _identifiers(data[at : at + PART + length - 1], q)
+        grams[at : at + len(own)] = own
+        chosen = _elected(own, length - q + 1)
+        np.add(chosen, at, out=place[at : at + len(chosen)])
+    return grams, place
+
+
 def _windows(texts: tb.Texts, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows that lie in one text, and the text of each."""
     counts = np.maximum(np.diff(texts.starts) - length + 1, 0)
@@ -166,8 +183,8 @@ def _pieces(length: int, q: int):
             if not len(start):
                 continue
             doc, twin = batch.column("doc").to_numpy(), batch.column("twin").to_numpy()
-            grams = _identifiers(texts.data, q)
-            place = _elected(grams, length - q + 1)[start]
+            grams, place = _named(texts.data, q, length)
+            place = place[start]
             at = np.flatnonzero(_firsts(place, row, start - np.arange(len(start))))
             lo, hi, row = start[at], start[np.append(at[1:], len(start)) - 1] + 1, row[at]
             bucket = grams[place[at]]

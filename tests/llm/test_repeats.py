@@ -39,6 +39,7 @@ def corpus(seed, n, letters="ab cdé"):
 def test_same_as_brute_force(spark, monkeypatch):
     for length, slice_, letters in ((12, 300, "ab cdé"), (30, 1 << 20, "ab cdé"), (20, 500, "aab"), (3, 200, "abcdefgh")):
         monkeypatch.setattr(repeats, "SLICE", slice_)
+        monkeypatch.setattr(repeats, "PART", 37)
         rows = corpus(length, 60, letters)
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
         assert digest(repeats.remove_repeats(df, length)) == brute(rows, length)
