@@ -31,7 +31,9 @@ def main() -> None:
     events = catalogue._engine(spark, sf, "events").table("events")
     flags = {"events value >= 100": Predicate().between("value", low=100), "events error and value 100..500": Predicate().eq("event_type", "error").between("value", 100, 500)}
     pruning = {k: {"scanned": (r := events.report(p)).segments_scanned, "total": r.segments_total, "rows": events.read(p).count()} for k, p in flags.items()}
-    print(json.dumps({"metric": "headline queries, median seconds summed", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf), "pruning": pruning}))
+    layouts = {r["layout"]: {k: v for k, v in r.asDict().items() if k != "layout"} for r in queries["layout_bytes"](spark, sf).collect()}
+    files = events.file_stats().first().asDict()
+    print(json.dumps({"metric": "headline queries, median seconds summed", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf), "pruning": pruning, "events value >= 100 by layout": layouts, "events files": files}))
 
 
 if __name__ == "__main__":
