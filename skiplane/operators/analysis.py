@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,47 +32,89 @@ def touched(zones: DataFrame, low: float | None = None, high: float | None = Non
     return zones.where(F.col("least") <= high) if high is not None else zones
 
 
-#: Ranges that values are dealt into before ranks are looked up.
-RANGES = 64
+#: Rows of a span of values that one task puts in order; wider spans are narrowed first.
+ROWS_A_SPAN = 100_000
+#: Of the sketch that narrows spans: a rank is off by one part in so many.
+ACCURACY = 10_000
 
 
-def _place(v: Column, edges: list[float], strict: bool) -> Column:
-    """How many of the edges are below the value, or at most it: a sum of comparisons, which stays in generated code."""
-    return reduce(lambda a, b: a + b, [((v > e) if strict else (v >= e)).cast("int") for e in edges]) if edges else F.lit(0)
+def _place(v: Column, edges: list[float]) -> Column:
+    """How many of the edges are at most the value: a sum of comparisons, which stays in generated code."""
+    return reduce(lambda a, b: a + b, [(v >= e).cast("int") for e in edges]) if edges else F.lit(0)
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+@dataclass
+class _Span:
+    """Values from ``low`` to ``high``, both included: rows below, rows inside, and the ranks looked for there."""
+
+    low: float
+    high: float
+    before: int
+    rows: int
+    ranks: list[int]
+
+    def has(self, v: Column) -> Column:
+        return (v >= self.low) & (v <= self.high)
+
+
+def _narrowed(rows: DataFrame, wide: list[_Span], slack: float) -> list[_Span]:
+    """Spans around the ranks of ``wide`` by a sketch of each, overlapping ones joined, with exact counts; two passes, and one row to the driver in each."""
+    v, told = F.col("v"), []
+    for s in wide:
+        near = [min(max((k - s.before + 0.5) / s.rows + side * slack, 0.0), 1.0) for k in s.ranks for side in (-1, 1)]
+        told.append(F.percentile_approx(F.when(s.has(v), v), near, ACCURACY))
+    spans: list[_Span] = []
+    for s, cuts in zip(wide, rows.agg(*told).first(), strict=True):
+        own: list[_Span] = []
+        for k, low, high in zip(s.ranks, cuts[::2], cuts[1::2], strict=True):
+            if own and low <= own[-1].high:
+                own[-1].high = max(own[-1].high, high)
+                own[-1].ranks.append(k)
+            else:
+                own.append(_Span(low, high, 0, 0, [k]))
+        spans += own
+    found = rows.agg(*[F.count(F.when(c, 1)) for s in spans for c in (v < s.low, s.has(v))]).first()
+    for s, before, inside in zip(spans, found[::2], found[1::2], strict=True):
+        s.before, s.rows = before, inside
+    return spans
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], most: int = ROWS_A_SPAN) -> list[float]:
     """Exact quantiles, interpolated between the two values around a rank; null and NaN don't count. Empty: no numbers.
 
-    Values are counted first. An approximate sketch cuts them into ranges, whose
-    counts tell the ranges that hold the ranks; only these are put in order,
-    each in a task of its own.
+    A sketch gives a span of values around each rank, and exact counts place
+    it; spans of more than ``most`` rows are narrowed again, to about 4 /
+    ``ACCURACY`` of their rows each time. Only values inside the last spans are
+    grouped and put in order, each span in a task of its own.
     """
-    counts = df.select(F.col(f"`{value}`").cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
-    edges = sorted(set(df.select(F.percentile_approx(F.col(f"`{value}`").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("e")).first()["e"] or []))
-    held = counts.withColumn("r", _place(F.col("v"), edges, strict=True))
-    sizes = sorted((r["r"], r["n"]) for r in held.groupBy("r").agg(F.sum("n").alias("n")).collect())  # RANGES rows at most
-    total, before, wanted, starts = sum(n for _, n in sizes), 0, set(), {}
+    v = F.col("v")
+    rows = df.select(F.col(f"`{value}`").cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    total = rows.count()
     if not total:
         return []
     places = [s * (total - 1) for s in shares]
-    ranks = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
-    for r, n in sizes:
-        starts[r] = before
-        if any(before <= k < before + n for k in ranks):
-            wanted.add(r)
-        before += n
-    upto = F.sum("n").over(Window.partitionBy("r").orderBy("v")) + F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("r"))
-    rows = held.where(F.col("r").isin(*wanted)).withColumn("upto", upto)
-    asked = F.filter(F.array(*[F.lit(k).cast("bigint") for k in ranks]), lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n")))
-    at = {r["k"]: r["v"] for r in rows.select("v", F.explode(asked).alias("k")).collect()}
-    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    spans = [_Span(-math.inf, math.inf, 0, total, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}))]
+    slack = 2 / ACCURACY
+    while slack < 1 and (wide := [s for s in spans if s.rows > most and s.low < s.high]):
+        tight = _narrowed(rows, wide, slack)
+        if not all(t.before <= k < t.before + t.rows for t in tight for k in t.ranks):
+            slack *= 4  # the sketch was off by more than it says
+        elif sum(t.rows for t in tight) < sum(s.rows for s in wide):
+            spans = [s for s in spans if s not in wide] + tight
+        else:  # what is left is mostly equal values, which grouping makes few
+            break
+    span = reduce(lambda a, b: a.when(b[1].has(v), b[0]), enumerate(spans[1:], 1), F.when(spans[0].has(v), 0))
+    counts = rows.select("v", span.alias("span")).where("span IS NOT NULL").groupBy("span", "v").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("span").orderBy("v")))
+    ranks = df.sparkSession.createDataFrame([(i, k, k - s.before) for i, s in enumerate(spans) for k in s.ranks], "span int, k bigint, own bigint")  # two rows for each share at most
+    at = {r["k"]: r["v"] for r in upto.join(F.broadcast(ranks), "span").where("own < upto AND own >= upto - n").select("k", "v").collect()}
+    return [at[math.floor(p)] + ((at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) if p > math.floor(p) else 0.0) for p in places]
 
 
 def equi_depth(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """``df`` with ``depth``: how many of the interpolated quantile cuts are at most the value."""
     cuts = quantiles(df, value, [i / buckets for i in range(1, buckets)])
-    depth = _place(F.col(f"`{value}`").cast("double"), cuts, strict=False)
+    depth = _place(F.col(f"`{value}`").cast("double"), cuts)
     return df.withColumn("depth", depth)
 
 
